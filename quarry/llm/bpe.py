@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import let, removed, table, written
 
-HOT_WORDS = 1 << 20
+HOT_WORDS = 1 << 21
 HOT_BYTES = 64
 BUCKETS = 1 << 14
+#: Rows that a Python worker looks up and assembles at a time.
+LOOK_UP, ASSEMBLE = 5000, 512
 _NEVER = 1 << 30
 
 
@@ -123,6 +125,12 @@ def hot_words(docs: DataFrame, text: str, pattern: str, ranks: Column, hot: int)
     return found
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def _ipc(t: pa.Table) -> bytes:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, t.schema) as w:
@@ -140,13 +148,13 @@ def _known(words, keep: list[str]):
 
         if "words" not in cache:
             got = pa.ipc.open_stream(words.value).read_all().column("word").combine_chunks()
-            cache["words"] = got if isinstance(got, pa.Array) else pa.chunked_array(got).combine_chunks()
-        for b in batches:
+            cache["words"] = got if isinstance(got, pa.Array) else got.combine_chunks()
+        for b in _sliced(batches, LOOK_UP):
             col = b.column(b.schema.get_field_index("__words"))
             offsets = col.offsets.to_numpy()
             flat = col.values.slice(offsets[0], offsets[-1] - offsets[0])
             offsets = offsets - offsets[0]
-            at = pc.index_in(flat, value_set=cache["words"].cast(flat.type)).fill_null(-1).to_numpy()
+            at = pc.index_in(flat, value_set=cache["words"]).fill_null(-1).to_numpy()
             miss = np.flatnonzero(at < 0)
             doc = np.searchsorted(offsets, miss, side="right") - 1
             tails: list[list[str]] = [[] for _ in range(len(b))]
@@ -180,7 +188,7 @@ def _assembled(words, pieces, keep: list[str], digests: bool):
             cache["ids"] = pa.ipc.open_stream(words.value).read_all().column("ids").combine_chunks().cast(pa.list_(pa.int32()))
             cache["pieces"] = pa.array(pieces.value, pa.binary())
         table_ids = cache["ids"]
-        for b in batches:
+        for b in _sliced(batches, ASSEMBLE):
             at = b.column(b.schema.get_field_index("__at"))
             rows = at.offsets.to_numpy()
             place = at.values.to_numpy()[rows[0] : rows[-1]].astype(np.int64)
