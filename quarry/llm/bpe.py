@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import let, removed, table, written
 
-HOT_WORDS = 1 << 21
+HOT_WORDS = 1 << 20
 HOT_BYTES = 64
 BUCKETS = 1 << 14
 #: Rows that a Python worker looks up and assembles at a time.
@@ -146,6 +146,7 @@ def _known(words, keep: list[str]):
         import numpy as np
         import pyarrow.compute as pc
 
+        pa.set_memory_pool(pa.system_memory_pool())  # hands freed blocks back, unlike the pooling default
         if "words" not in cache:
             got = pa.ipc.open_stream(words.value).read_all().column("word").combine_chunks()
             cache["words"] = got if isinstance(got, pa.Array) else got.combine_chunks()
@@ -184,6 +185,7 @@ def _assembled(words, pieces, keep: list[str], digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        pa.set_memory_pool(pa.system_memory_pool())
         if not cache:
             cache["ids"] = pa.ipc.open_stream(words.value).read_all().column("ids").combine_chunks().cast(pa.list_(pa.int32()))
             cache["pieces"] = pa.array(pieces.value, pa.binary())
@@ -231,14 +233,16 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: list[str] | None =
     literal = rank_map(ranks)
     found = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in found]
-    words = spark.sparkContext.broadcast(_ipc(hot_words(docs, text, pattern, literal, hot)))
+    found_hot = hot_words(docs, text, pattern, literal, hot)
+    words, word_ids = (spark.sparkContext.broadcast(_ipc(found_hot.select([c]))) for c in ("word", "ids"))
+    del found_hot
     by_id = {v: k for k, v in ranks.items()}
     pieces = spark.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id) + 1)])
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema]
     split = docs.select(*[F.col(f"`{c}`") for c in keep], words_of(F.col(text), pattern).alias("__words")).mapInArrow(_known(words, keep), ", ".join([*kinds, "__at array<int>", "__tail array<string>"]))
     folded = split.select(*[F.col(f"`{c}`") for c in keep], "__at", F.transform("__tail", lambda w: merged(w, literal)).alias("__enc"))
     last = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["ids array<int>", "decoded binary"]
-    return folded.mapInArrow(_assembled(words, pieces, keep, digests), ", ".join([*kinds, *last]))
+    return folded.mapInArrow(_assembled(word_ids, pieces, keep, digests), ", ".join([*kinds, *last]))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
