@@ -1,4 +1,6 @@
 """All queries of the engine's operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import base, relational, retrieval  # noqa: F401  (modules register their queries)
+
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
