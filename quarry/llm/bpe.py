@@ -30,8 +30,8 @@ from .common import let, removed, table, written
 HOT_WORDS = 1 << 20
 HOT_BYTES = 64
 BUCKETS = 1 << 14
-#: Rows that a Python worker looks up and assembles at a time.
-LOOK_UP, ASSEMBLE = 5000, 512
+#: Rows an Arrow batch holds (the JVM keeps batches outside its heap), rows or bytes a Python worker looks up, and rows it assembles at a time.
+ARROW_ROWS, LOOK_UP, LOOK_UP_BYTES, ASSEMBLE = 500, 5000, 1 << 26, 500
 _NEVER = 1 << 30
 
 
@@ -131,6 +131,18 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             yield b.slice(at, rows)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to LOOK_UP rows, as each look-up builds its table of frequent words."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= LOOK_UP or sum(x.nbytes for x in held) >= LOOK_UP_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _ipc(t: pa.Table) -> bytes:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, t.schema) as w:
@@ -150,7 +162,7 @@ def _known(words, keep: list[str]):
         if "words" not in cache:
             got = pa.ipc.open_stream(words.value).read_all().column("word").combine_chunks()
             cache["words"] = got if isinstance(got, pa.Array) else got.combine_chunks()
-        for b in _sliced(batches, LOOK_UP):
+        for b in _gathered(batches):
             col = b.column(b.schema.get_field_index("__words"))
             offsets = col.offsets.to_numpy()
             flat = col.values.slice(offsets[0], offsets[-1] - offsets[0])
@@ -170,10 +182,11 @@ def _known(words, keep: list[str]):
                     if k == len(tails[d]):
                         tails[d].append(w)
                     at[i] = -1 - k
-            yield pa.RecordBatch.from_arrays(
+            done = pa.RecordBatch.from_arrays(
                 [*(b.column(b.schema.get_field_index(k)) for k in keep), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at, pa.int32())), pa.array(tails, pa.list_(pa.string()))],
                 names=[*keep, "__at", "__tail"],
             )
+            yield from _sliced(iter([done]), ARROW_ROWS)
 
     return run
 
@@ -229,6 +242,8 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: list[str] | None =
     """docs' columns (or those in keep) with ids array<int> and decoded binary, decoded from the ids; with digests instead n_tokens, ids_sha256 and decoded_sha256."""
     spark = docs.sparkSession
     own_path, own_pattern = _public()
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)  # stays set: the result is lazy
     ranks, pattern = read_ranks(ranks_path or own_path), pattern or own_pattern
     literal = rank_map(ranks)
     found = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
