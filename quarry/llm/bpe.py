@@ -31,7 +31,7 @@ HOT_WORDS = 1 << 20
 HOT_BYTES = 64
 BUCKETS = 1 << 14
 #: Rows an Arrow batch holds (the JVM keeps batches outside its heap), rows or bytes a Python worker looks up, and rows it assembles at a time.
-ARROW_ROWS, LOOK_UP, LOOK_UP_BYTES, ASSEMBLE = 500, 5000, 1 << 26, 500
+ARROW_ROWS, LOOK_UP, LOOK_UP_BYTES, ASSEMBLE = 250, 4000, 1 << 25, 250
 _NEVER = 1 << 30
 
 
@@ -132,15 +132,19 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined up to LOOK_UP rows, as each look-up builds its table of frequent words."""
+    """Batches joined up to LOOK_UP rows, as each look-up builds its table of frequent words; joined parts are let go."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         held.append(b)
+        del b
         if sum(map(len, held)) >= LOOK_UP or sum(x.nbytes for x in held) >= LOOK_UP_BYTES:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
+            joined, held = pa.Table.from_batches(held).combine_chunks().to_batches(), []
+            while joined:
+                yield joined.pop(0)
     if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        joined, held = pa.Table.from_batches(held).combine_chunks().to_batches(), []
+        while joined:
+            yield joined.pop(0)
 
 
 def _ipc(t: pa.Table) -> bytes:
@@ -186,7 +190,10 @@ def _known(words, keep: list[str]):
                 [*(b.column(b.schema.get_field_index(k)) for k in keep), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at, pa.int32())), pa.array(tails, pa.list_(pa.string()))],
                 names=[*keep, "__at", "__tail"],
             )
+            del b, col, flat, at, miss, doc, tails, offsets
             yield from _sliced(iter([done]), ARROW_ROWS)
+            del done
+            pa.default_memory_pool().release_unused()
 
     return run
 
