@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
-Method: the rank file becomes a literal map (an array of small maps, addressed by a checksum, as Spark looks maps up one
-entry after the other).  A word's bytes become an array of pieces, and ``aggregate`` folds the ranked merges over it: each
-step joins the adjacent pair of lowest rank and looks up only the two pairs that this changes.  Distinct words are folded:
+Method: the rank file becomes a literal map from pairs of ids to the id, which is the rank, of their union (sparse rows
+laid over each other in one array, as Spark looks maps up one entry after the other).  A word's bytes become an array of
+ids, and ``aggregate`` folds the ranked merges over it: each step joins the adjacent pair of lowest rank and looks up only
+the two pairs that this changes.  Distinct words are folded:
 the words that are frequent in the whole corpus once each, the others once per document.  The frequent ones (at most
 ``hot`` words of at most HOT_BYTES bytes, so a broadcast of at most hot * HOT_BYTES bytes plus ids) are then only looked
 up.  Nothing but word counts is shuffled.  Decoding takes the binary piece of each id and concatenates the pieces.
@@ -17,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,10 +29,10 @@ from .common import let, removed, table, written
 
 HOT_WORDS = 1 << 20
 HOT_BYTES = 64
-BUCKETS = 1 << 14
 #: Rows an Arrow batch holds (the JVM keeps batches outside its heap), rows or bytes a Python worker looks up, and rows it assembles at a time.
 ARROW_ROWS, LOOK_UP, LOOK_UP_BYTES, ASSEMBLE = 250, 4000, 1 << 25, 250
 _NEVER = 1 << 30
+_LOW = (1 << 32) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,13 +48,73 @@ def _public() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: bucket crc32(hex) mod BUCKETS holds {hex: rank}."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def _folded(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces that ranked merges leave of one word."""
+    p = [word[i : i + 1] for i in range(len(word))]
+    while len(p) > 1:
+        rank, at = min((ranks.get(p[i] + p[i + 1], _NEVER), i) for i in range(len(p) - 1))
+        if rank == _NEVER:
+            break
+        p[at : at + 2] = [p[at] + p[at + 1]]
+    return p
+
+
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int], list[int]]:
+    """Pairs of ids to the id of their union, by row displacement: (base, owner, union).
+
+    The pair (a, b) has slot base[a] + b, and is there if owner[slot] is a.  Rows are placed first fit, largest first.
+    """
+    import numpy as np
+
+    rows: dict[int, dict[int, int]] = {}
     for token, rank in ranks.items():
-        h = token.hex().upper()
-        buckets[zlib.crc32(h.encode()) % BUCKETS][h] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        for cut in range(1, len(token)):
+            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if a is not None and b is not None:
+                rows.setdefault(a, {})[b] = rank
+    most = max(ranks.values()) + 1
+    used = np.zeros(4 * most + 4 * sum(map(len, rows.values())), bool)
+    base, owner, union = np.zeros(most, np.int64), np.full(len(used), -1, np.int64), np.zeros(len(used), np.int64)
+    low = 0
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        cols = np.array(sorted(row))
+        while used[low]:
+            low += 1
+        start, width, fits = low, 16, []
+        while not len(fits):
+            fits = start + np.flatnonzero(~used[start : start + width])
+            for at in range(1, len(cols), 16):  # few starts outlive the first columns
+                if not len(fits):
+                    break
+                fits = fits[~used[fits[:, None] + (cols[at : at + 16] - cols[0])].any(axis=1)]
+            start, width = start + width, min(4 * width, 1 << 14)
+        base[a] = fits[0] - cols[0]  # may be below zero; no slot is
+        slots = base[a] + cols
+        used[slots], owner[slots], union[slots] = True, a, [row[c] for c in cols.tolist()]
+    end = int(np.flatnonzero(used)[-1]) + 1 if rows else 0
+    return base.tolist(), owner[:end].tolist(), union[:end].tolist()
+
+
+@lru_cache(4)
+def _literal(path: str) -> tuple[str, dict[str, int]]:
+    ranks = read_ranks(path)
+    base, owner, union = pair_table(ranks)
+    return json.dumps({"base": base, "owner": owner, "union": union, "byte": [ranks[bytes([i])] for i in range(256)]}), unreached(ranks)
+
+
+def rank_map(path: str) -> tuple[Column, dict[str, int]]:
+    """The ranks as a literal: base, owner and union of pair_table, and byte, the ids of the 256 bytes; and what is unreached.
+
+    A union's id is its rank, so the least id among the unions of adjacent pairs is the merge to make next.  The literal is a
+    map as the planner hashes literal arrays entry by entry, again and again.
+    """
+    text, whole = _literal(path)
+    return F.from_json(F.lit(text), "map<string,array<bigint>>"), whole
+
+
+def unreached(ranks: dict[bytes, int]) -> dict[str, int]:
+    """Tokens, as hex, that the merges of their own bytes don't give: whole words of these are looked up."""
+    return {t.hex().upper(): r for t, r in ranks.items() if len(t) > 1 and len(_folded(t, ranks)) > 1}
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -62,41 +122,49 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def merged(word: Column, ranks: Column) -> Column:
-    """The ids of one word: the fold of ranked merges over its bytes."""
+def merged(word: Column, ranks: Column, whole: dict[str, int]) -> Column:
+    """The ids of one word: the fold of ranked merges over its bytes, but for words in ``whole``.
+
+    The folded array holds one long a piece: its id below, above it the id of its union with the next piece (_NEVER: none).
+    The step's position comes from the minimum itself, as array_position leaves its loop by an exception, which is slow.
+    """
+    above = lambda x: F.shiftright(x, 32)
+    below = lambda x: x.bitwiseAND(F.lit(_LOW))
 
-    def folded(m: Column) -> Column:
-        rank = lambda h: F.element_at(F.get(m, (F.crc32(h) % BUCKETS).cast("int")), h)
-        known = lambda h: F.coalesce(rank(h), F.lit(_NEVER))
+    def folded(base: Column, owner: Column, unions: Column, byte: Column) -> Column:
+        def packed(a: Column, b: Column) -> Column:
+            slot = F.get(base, a) + b
+            union = F.when(F.get(owner, slot) == a, F.get(unions, slot))
+            return F.shiftleft(F.coalesce(union, F.lit(_NEVER).cast("long")), 32) + a
 
         def step(acc: Column, _: Column) -> Column:
-            def joined(at: Column) -> Column:
-                p, r, n = acc["p"], acc["r"], F.size(acc["p"])
-                return let(
-                    F.concat(F.get(p, at - 1), F.get(p, at)),
-                    lambda piece: F.struct(
-                        F.concat(F.slice(p, 1, at - 1), F.array(piece), F.slice(p, at + 2, n)).alias("p"),
-                        F.concat(
-                            F.when(at > 1, F.concat(F.slice(r, 1, at - 2), F.array(known(F.concat(F.get(p, at - 2), piece))))).otherwise(F.slice(r, 1, 0)),
-                            F.when(at + 1 < n, F.concat(F.array(known(F.concat(piece, F.get(p, at + 1)))), F.slice(r, at + 2, n))).otherwise(F.slice(r, 1, 0)),
-                        ).alias("r"),
-                    ),
+            def joined(low: Column) -> Column:
+                at, new = below(low).cast("int"), above(low)
+                mine = packed(new, below(F.get(acc, at + 2)))
+                return F.concat(
+                    F.slice(acc, 1, F.greatest(at - 1, F.lit(0))),
+                    F.when(at > 0, F.array(packed(below(F.get(acc, at - 1)), new), mine)).otherwise(F.array(mine)),
+                    F.slice(acc, at + 3, F.size(acc)),
                 )
 
-            return let(F.array_min(acc["r"]), lambda low: F.when(F.coalesce(low, F.lit(_NEVER)) == _NEVER, acc).otherwise(let(F.array_position(acc["r"], low).cast("int"), joined)))
-
-        def pieces(h: Column) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.substring(h, i, F.lit(2)))
-
-        def start(p: Column) -> Column:
-            return F.struct(p.alias("p"), F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: known(F.concat(F.get(p, i - 1), F.get(p, i)))).alias("r"))
+            # the least union, and below it its place
+            low = F.array_min(F.transform(acc, lambda x, i: x.bitwiseAND(F.lit(~_LOW)) + i))
+            return let(low, lambda low: F.when(above(low) == _NEVER, acc).otherwise(joined(low)))
 
-        def split(h: Column) -> Column:
-            return let(pieces(h), lambda p: F.aggregate(F.sequence(F.lit(2), F.size(p)), start(p), step, lambda acc: F.transform(acc["p"], rank)))
+        def split(b: Column) -> Column:
+            # each byte as the character of the same number
+            ids = F.transform(F.split(F.decode(b, "ISO-8859-1"), ""), lambda c: F.get(byte, F.ascii(c)))
+            start = lambda p: F.transform(p, lambda x, i: packed(x, F.get(p, i + 1)))
+            return let(ids, lambda p: F.aggregate(F.slice(p, 2, F.size(p)), start(p), step, lambda acc: F.transform(acc, lambda x: below(x).cast("int"))))
 
-        return let(F.hex(F.encode(word, "UTF-8")), lambda h: let(rank(h), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(split(h))))
+        b = F.encode(word, "UTF-8")
+        if not whole:
+            return split(b)
+        known = F.element_at(F.from_json(F.lit(json.dumps(whole)), "map<string,int>"), F.hex(b))
+        return let(known, lambda k: F.when(k.isNotNull(), F.array(k)).otherwise(split(b)))
 
-    return let(ranks, folded)
+    part = lambda m, k: F.element_at(m, F.lit(k))
+    return let(ranks, lambda m: let(part(m, "base"), lambda base: let(part(m, "owner"), lambda owner: let(part(m, "union"), lambda unions: let(part(m, "byte"), lambda byte: folded(base, owner, unions, byte))))))
 
 
 def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
@@ -104,7 +172,7 @@ def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
     return docs.select(F.explode(words_of(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def hot_words(docs: DataFrame, text: str, pattern: str, ranks: Column, hot: int) -> pa.Table:
+def hot_words(docs: DataFrame, text: str, pattern: str, ranks: Column, whole: dict[str, int], hot: int) -> pa.Table:
     """(word, ids) of the most frequent words: all those at or above the least count that at most ``hot`` words reach."""
     spark = docs.sparkSession
     counts, path = written(word_counts(docs, text, pattern).where((F.col("n") > 1) & (F.octet_length("word") <= HOT_BYTES)))
@@ -120,7 +188,7 @@ def hot_words(docs: DataFrame, text: str, pattern: str, ranks: Column, hot: int)
         least = n
     chosen = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
     parts = max(1, min(kept // 5000, 4 * spark.sparkContext.defaultParallelism))
-    found = chosen.repartition(parts, "word").select("word", merged(F.col("word"), ranks).alias("ids")).toArrow()
+    found = chosen.repartition(parts, "word").select("word", merged(F.col("word"), ranks, whole).alias("ids")).toArrow()
     removed(spark, path)
     return found
 
@@ -252,17 +320,17 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: list[str] | None =
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)  # stays set: the result is lazy
     ranks, pattern = read_ranks(ranks_path or own_path), pattern or own_pattern
-    literal = rank_map(ranks)
+    literal, whole = rank_map(ranks_path or own_path)
     found = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in found]
-    found_hot = hot_words(docs, text, pattern, literal, hot)
+    found_hot = hot_words(docs, text, pattern, literal, whole, hot)
     words, word_ids = (spark.sparkContext.broadcast(_ipc(found_hot.select([c]))) for c in ("word", "ids"))
     del found_hot
     by_id = {v: k for k, v in ranks.items()}
     pieces = spark.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id) + 1)])
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema]
     split = docs.select(*[F.col(f"`{c}`") for c in keep], words_of(F.col(text), pattern).alias("__words")).mapInArrow(_known(words, keep), ", ".join([*kinds, "__at array<int>", "__tail array<string>"]))
-    folded = split.select(*[F.col(f"`{c}`") for c in keep], "__at", F.transform("__tail", lambda w: merged(w, literal)).alias("__enc"))
+    folded = split.select(*[F.col(f"`{c}`") for c in keep], "__at", F.transform("__tail", lambda w: merged(w, literal, whole)).alias("__enc"))
     last = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["ids array<int>", "decoded binary"]
     return folded.mapInArrow(_assembled(word_ids, pieces, keep, digests), ", ".join([*kinds, *last]))
 

@@ -14,8 +14,8 @@ WORD_LITERAL = r"[^\\x20\\x09-\\x0D]+"
 
 
 def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once inside a higher-order function."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value) with value evaluated once inside a higher-order function (element_at keeps its type; get derives it for every row)."""
+    return F.element_at(F.transform(F.array(value), body), F.lit(1))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
