@@ -62,6 +62,15 @@ def top_k_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def triplet_importance(triplets: DataFrame, distances: DataFrame, k: int, touches: Column, penalty: float = 3.5, bias: float = 0.7) -> DataFrame:
+    """The k triplets (src, rel, dst) of the smallest sum of distances (id, distance); an element without one counts the penalty, and the sum is scaled by the bias where a triplet touches a chunk."""
+    for end in ("src", "rel", "dst"):
+        triplets = triplets.join(distances.select(F.col("id").alias(end), F.col("distance").alias(f"d_{end}")), end, "left")
+    total = reduce(lambda a, b: a + b, (F.coalesce(F.col(f"d_{end}"), F.lit(penalty)) for end in ("src", "rel", "dst")))
+    scaled = total * F.when(touches, bias).otherwise(1.0)
+    return triplets.select("src", "rel", "dst", F.round(scaled, 5).alias("importance")).orderBy("importance", "src", "rel", "dst").limit(k)
+
+
 def best_per_key(groups: DataFrame, k: int, key: str = "id") -> DataFrame:
     """Max score per id over several result lists, then the global top k in order of first appearance on ties."""
     best = groups.groupBy(key).agg(F.max("score").alias("score"), F.min("first_order").alias("first_order"))

@@ -60,11 +60,18 @@ FROM e LEFT JOIN d a ON a.id = src LEFT JOIN d r ON r.id = rel LEFT JOIN d b ON
 def _(t):
     d = _scored(t).where("id < 300").select("id", (1 - F.col("score")).alias("distance"))
     e = t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_linenumber").alias("rel"), (F.col("l_partkey") % 400).alias("dst")).distinct()
-    for end in ("src", "rel", "dst"):
-        e = e.join(d.select(F.col("id").alias(end), F.col("distance").alias(f"d_{end}")), end, "left")
-    total = sum((F.coalesce(F.col(f"d_{end}"), F.lit(3.5)) for end in ("rel", "dst")), F.coalesce(F.col("d_src"), F.lit(3.5)))
-    scaled = total * F.when(F.col("dst") % 2 == 0, 0.7).otherwise(1.0)
-    return e.select("src", "rel", "dst", F.round(scaled, 5).alias("importance")).orderBy("importance", "src", "rel", "dst").limit(25)
+    return vectors.triplet_importance(e, d, 25, F.col("dst") % 2 == 0)
+
+
+@op("TOP7_triplet_importance_all", f"""
+WITH d AS (SELECT vec_id AS id, 1 - {COSINE_SQL} AS distance FROM embeddings),
+e AS (SELECT DISTINCT l_suppkey AS src, l_linenumber AS rel, l_partkey AS dst FROM lineitem)
+SELECT src, rel, dst, round((coalesce(a.distance, 3.5) + coalesce(r.distance, 3.5) + coalesce(b.distance, 3.5)) * CASE WHEN dst % 2 = 0 THEN 0.7 ELSE 1.0 END, 5) AS importance
+FROM e LEFT JOIN d a ON a.id = src LEFT JOIN d r ON r.id = rel LEFT JOIN d b ON b.id = dst ORDER BY importance, src, rel, dst LIMIT 25""")
+def _(t):
+    d = _scored(t).select("id", (1 - F.col("score")).alias("distance"))
+    e = t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_linenumber").alias("rel"), F.col("l_partkey").alias("dst")).distinct()
+    return vectors.triplet_importance(e, d, 25, F.col("dst") % 2 == 0)
 
 
 @op("TOP9_batch_search", """
