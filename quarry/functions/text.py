@@ -10,8 +10,15 @@ ACRONYMS = ("api", "ai", "ui", "sql", "http", "https", "url", "id", "crm", "erp"
 CORPORATE_SUFFIXES = ("corporation", "corp", "inc", "incorporated", "llc", "ltd", "limited", "company", "co", "gmbh", "plc")
 TIER_SUFFIXES = ("go", "pro", "lite", "plus", "enterprise", "premium", "basic", "standard", "express")
 OVERLAP_STOP_WORDS = ("a", "an", "and", "the", "of", "for", "to", "in", "on", "with", "is", "are", "by")
-MIME_BY_SUFFIX = ((".py", "text/x-python"), (".js", "text/javascript"), (".html", "text/html"), (".md", "text/markdown"), (".json", "application/json"), (".txt", "text/plain"))
-LANGUAGE_BY_EXTENSION = (("py", "python"), ("js", "javascript"), ("ts", "typescript"), ("html", "html"), ("rb", "ruby"), ("go", "go"), ("java", "java"), ("md", "markdown"))
+MIME_BY_SUFFIX = ((".py", "text/x-python"), (".js", "text/javascript"), (".ts", "text/typescript"), (".tsx", "text/typescript-jsx"), (".jsx", "text/javascript-jsx"), (".json", "application/json"), (".html", "text/html"), (".css", "text/css"), (".md", "text/markdown"), (".yaml", "text/yaml"), (".yml", "text/yaml"), (".xml", "text/xml"), (".sql", "text/x-sql"), (".sh", "text/x-shellscript"), (".rb", "text/x-ruby"), (".java", "text/x-java"), (".go", "text/x-go"), (".rs", "text/x-rust"), (".swift", "text/x-swift"), (".kt", "text/x-kotlin"), (".c", "text/x-c"), (".cpp", "text/x-c++"), (".h", "text/x-c-header"), (".vue", "text/x-vue"), (".svelte", "text/x-svelte"))
+#: The first 14 are those of the graph context, which looks them up by the lower-case extension.
+CONTEXT_MIME_BY_EXTENSION = tuple((suffix[1:], kind) for suffix, kind in MIME_BY_SUFFIX[:14])
+#: Three maps that differ: of uploaded documents, of code extraction and of file events.
+DOCUMENT_LANGUAGES = (("py", "python"), ("js", "javascript"), ("ts", "typescript"), ("java", "java"), ("go", "go"), ("rs", "rust"), ("rb", "ruby"), ("php", "php"), ("c", "c"), ("cpp", "cpp"), ("h", "c_header"), ("hpp", "cpp_header"), ("cs", "csharp"), ("swift", "swift"), ("kt", "kotlin"), ("scala", "scala"), ("r", "r"), ("m", "objective_c"))
+CODE_LANGUAGES = (("py", "python"), ("rb", "ruby"), ("js", "javascript"), ("ts", "typescript"), ("java", "java"), ("go", "go"), ("rs", "rust"), ("cpp", "cpp"), ("c", "c"), ("cs", "csharp"), ("php", "php"), ("swift", "swift"))
+EVENT_LANGUAGES = (("ts", "typescript"), ("tsx", "typescript"), ("mts", "typescript"), ("cts", "typescript"), ("js", "javascript"), ("jsx", "javascript"), ("mjs", "javascript"), ("cjs", "javascript"), ("py", "python"), ("pyw", "python"), ("pyi", "python"), ("rb", "ruby"), ("rake", "ruby"), ("java", "java"), ("kt", "kotlin"), ("kts", "kotlin"), ("swift", "swift"), ("go", "go"), ("rs", "rust"), ("cs", "csharp"), ("cpp", "cpp"), ("cc", "cpp"), ("cxx", "cpp"), ("c", "c"), ("h", "c"), ("hpp", "cpp"), ("php", "php"), ("scala", "scala"), ("dart", "dart"), ("lua", "lua"), ("r", "r"), ("m", "objectivec"), ("mm", "objectivec"), ("sh", "bash"), ("bash", "bash"), ("zsh", "bash"), ("ps1", "powershell"), ("sql", "sql"), ("html", "html"), ("htm", "html"), ("css", "css"), ("scss", "scss"), ("sass", "sass"), ("less", "less"), ("vue", "vue"), ("svelte", "svelte"), ("yml", "yaml"), ("yaml", "yaml"), ("json", "json"), ("xml", "xml"), ("toml", "toml"), ("ini", "ini"), ("cfg", "ini"), ("tf", "terraform"), ("hcl", "terraform"), ("proto", "protobuf"), ("graphql", "graphql"), ("gql", "graphql"), ("ex", "elixir"), ("exs", "elixir"), ("erl", "erlang"), ("hs", "haskell"), ("clj", "clojure"), ("cljs", "clojure"), ("pl", "perl"), ("groovy", "groovy"))
+#: The extension of the last path part (none where it only leads with a dot), and whatever follows the last dot.
+EXTENSION, AFTER_LAST_DOT = r"[^/]\.([^./]+)/*\z", r"\.([^.]*)\z"
 
 
 def camel_split(s: Column) -> Column:
@@ -80,16 +87,45 @@ def slugify(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(s)), r"[^a-z0-9_\s-]", ""), r"[\s_]+", "-"), "-+", "-"), "^-|-$", "")
 
 
-def mime_type(path: Column) -> Column:
-    out = F.lit("application/octet-stream")
+def mime_type(path: Column, default: str = "text/plain") -> Column:
+    """By suffix, upper and lower case apart: the first match in the order of the map."""
+    out = F.lit(default)
     for suffix, kind in reversed(MIME_BY_SUFFIX):
-        out = F.when(F.endswith(F.lower(path), F.lit(suffix)), kind).otherwise(out)
+        out = F.when(F.endswith(path, F.lit(suffix)), kind).otherwise(out)
     return out
 
 
+def by_extension(path: Column, pairs: tuple, pattern: str = EXTENSION, default: str | None = "unknown") -> Column:
+    found = F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), F.lower(F.regexp_extract(path, pattern, 1)))
+    return F.coalesce(found, F.lit(default))
+
+
+def by_extension_sql(path: str, pairs: tuple, pattern: str = EXTENSION, default: str | None = "unknown") -> str:
+    """The same in SQL, from the same map."""
+    whens = " ".join(f"WHEN '{ext}' THEN '{kind}'" for ext, kind in pairs)
+    return f"CASE lower(regexp_extract({path}, '{pattern}', 1)) {whens} ELSE {'NULL' if default is None else repr(default)} END"
+
+
+def document_language(path: Column) -> Column:
+    return by_extension(path, DOCUMENT_LANGUAGES)
+
+
+def code_language(path: Column) -> Column:
+    return by_extension(path, CODE_LANGUAGES, AFTER_LAST_DOT)
+
+
+def event_language(path: Column) -> Column:
+    """Null where unknown."""
+    return by_extension(path, EVENT_LANGUAGES, default=None)
+
+
+def context_mime(path: Column) -> Column:
+    return by_extension(path, CONTEXT_MIME_BY_EXTENSION, default="text/plain")
+
+
 def language(path: Column) -> Column:
-    pairs = F.create_map(*[F.lit(x) for pair in LANGUAGE_BY_EXTENSION for x in pair])
-    return F.coalesce(F.element_at(pairs, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("unknown"))
+    """The first of the three maps that knows the extension, that of events first as the widest."""
+    return F.coalesce(event_language(path), by_extension(path, DOCUMENT_LANGUAGES, default=None), code_language(path))
 
 
 def sanitized(s: Column) -> Column:

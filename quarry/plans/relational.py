@@ -430,6 +430,12 @@ def _(t):
     return t.pages.where(~F.col("url").rlike(r"\.(com|net|org|py|js)$")).select("page_id", tx.language(F.col("url")).alias("language"))
 
 
+@op("SRC5_language_all", f"SELECT page_id, {tx.by_extension_sql('url', tx.DOCUMENT_LANGUAGES)} AS document_language, {tx.by_extension_sql('url', tx.CODE_LANGUAGES, tx.AFTER_LAST_DOT)} AS code_language, {tx.by_extension_sql('url', tx.EVENT_LANGUAGES, default=None)} AS event_language FROM pages")
+def _(t):
+    url = F.col("url")
+    return t.pages.select("page_id", tx.document_language(url).alias("document_language"), tx.code_language(url).alias("code_language"), tx.event_language(url).alias("event_language"))
+
+
 @op("SRC8_paged_scan", "SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 40 OFFSET 80")
 def _(t):
     return t.embeddings.where("embedding is not null").select("vec_id").orderBy("vec_id").offset(80).limit(40)

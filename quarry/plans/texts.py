@@ -60,7 +60,15 @@ def _(t):
 
 @op("TXT20_mime", "SELECT page_id, CASE WHEN suffix(lower(url), '.html') THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages")
 def _(t):
-    return t.pages.select("page_id", tx.mime_type(F.col("url")).alias("mime"))
+    return t.pages.select("page_id", tx.mime_type(F.lower("url"), "application/octet-stream").alias("mime"))
+
+
+_MIME = " ".join(f"WHEN suffix(url, '{suffix}') THEN '{kind}'" for suffix, kind in tx.MIME_BY_SUFFIX)
+
+
+@op("TXT20_mime_all", f"SELECT page_id, CASE {_MIME} ELSE 'text/plain' END AS mime, {tx.by_extension_sql('url', tx.CONTEXT_MIME_BY_EXTENSION, default='text/plain')} AS context_mime FROM pages")
+def _(t):
+    return t.pages.select("page_id", tx.mime_type(F.col("url")).alias("mime"), tx.context_mime(F.col("url")).alias("context_mime"))
 
 
 @op("TXT22_slugify", r"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_brand || ' 2.0 ' || p_type)), '[^a-z0-9_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")

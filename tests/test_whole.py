@@ -1,9 +1,14 @@
 """Operators on inputs that the given tables don't hold, or beyond what a registered query shows of them."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from quarry import catalog
+from quarry.functions import text
 from quarry.operators import vectors
 
+PATHS = ["a/b.RS", "x.cpp", "y.cs", "z.php", "k.kt", "p.tsx", "h.h", "q.m", "s.ps1", "n.md", "https://a.org/m.py", "https://host.com", ".py", "a.py/", "noext", "u.HTML", "w.js", "v.yml", "d.c/e", "f.go\n", ""]
+
 
 def test_triplet_importance_penalty(spark):
     triplets = spark.createDataFrame([(1, 1, 2), (1, 1, 901), (900, 2, 403), (900, 800, 902)], "src long, rel long, dst long")
@@ -12,3 +17,23 @@ def test_triplet_importance_penalty(spark):
     assert [tuple(r) for r in got] == [(1, 1, 2, 0.28), (1, 1, 901, 0.7), (900, 2, 403, 4.0)]
     every = vectors.triplet_importance(triplets, distances, 9, F.col("dst") % 2 == 0).collect()
     assert len(every) == 4 and tuple(every[-1]) == (900, 800, 902, 7.35)
+
+
+def test_languages_and_mime_of_files(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(PATHS)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("SRC5_language_all", "TXT20_mime_all"):
+        got = catalog.QUERIES[name](spark, str(tmp_path)).orderBy("page_id")
+        assert [tuple(r) for r in got.collect()] == con.execute(f"{catalog.ORACLE_SQL[name]} ORDER BY page_id").fetchall()
+    docs = spark.createDataFrame(list(enumerate(PATHS)), "page_id long, url string")
+    u = F.col("url")
+    got = {r.url: tuple(r)[1:] for r in docs.select("url", text.document_language(u), text.code_language(u), text.event_language(u), text.language(u), text.mime_type(u), text.context_mime(u)).collect()}
+    plain = "text/plain"
+    assert got["a/b.RS"] == ("rust", "rust", "rust", "rust", plain, plain) and got["x.cpp"] == ("cpp", "cpp", "cpp", "cpp", "text/x-c++", plain)
+    assert got["h.h"] == ("c_header", "unknown", "c", "c", "text/x-c-header", plain) and got["q.m"] == ("objective_c", "unknown", "objectivec", "objectivec", plain, plain)
+    assert got["p.tsx"] == ("unknown", "unknown", "typescript", "typescript", "text/typescript-jsx", "text/typescript-jsx")
+    assert got["https://a.org/m.py"] == ("python", "python", "python", "python", "text/x-python", "text/x-python")
+    assert got[".py"] == ("unknown", "python", None, "python", "text/x-python", plain) and got["a.py/"][:3] == ("python", "unknown", "python")
+    assert got["u.HTML"] == ("unknown", "unknown", "html", "html", plain, "text/html") and got["n.md"] == ("unknown", "unknown", None, "unknown", "text/markdown", "text/markdown")
+    assert all(got[x][:4] == ("unknown", "unknown", None, "unknown") and got[x][4] == plain for x in ("https://host.com", "noext", "d.c/e", "f.go\n", ""))
