@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values ---
-ACRONYMS = ("api", "ai", "ui", "sql", "http", "https", "url", "id", "crm", "erp")
+ACRONYMS = ("ai", "api", "soap", "prro", "http", "https", "sql", "url", "ui", "sdk", "cli", "rest", "json", "xml", "css", "html", "js", "ts", "db")
 CORPORATE_SUFFIXES = ("corporation", "corp", "inc", "incorporated", "llc", "ltd", "limited", "company", "co", "gmbh", "plc")
 TIER_SUFFIXES = ("go", "pro", "lite", "plus", "enterprise", "premium", "basic", "standard", "express")
 OVERLAP_STOP_WORDS = ("a", "an", "and", "the", "of", "for", "to", "in", "on", "with", "is", "are", "by")

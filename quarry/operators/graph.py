@@ -40,6 +40,16 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out
     return found
 
 
+def scoped_delete(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
+    """The nodes that stay when each start (id, scope) goes with all nodes of its scope within 1..hops edges either way, over nodes of any scope."""
+    steps = undirected(edges).select("node", "other").distinct()
+    front = gone = starts.select("id", "scope")
+    for _ in range(hops):
+        front = front.join(steps, F.col("id") == F.col("node")).select(F.col("other").alias("id"), "scope").distinct()
+        gone = gone.unionByName(front)
+    return nodes.join(starts.select("id"), "id", "left_anti").join(gone.distinct(), ["id", "scope"], "left_anti")
+
+
 def descendants(spark, edges_view: str, roots_view: str) -> DataFrame:
     """Unbounded tree descent by a recursive query over (src, dst)."""
     return spark.sql(f"WITH RECURSIVE t(id, depth) AS (SELECT id, 0 FROM {roots_view} UNION ALL SELECT e.dst, t.depth + 1 FROM t JOIN {edges_view} e ON e.src = t.id) SELECT id, min(depth) AS depth FROM t GROUP BY id")

@@ -164,6 +164,13 @@ def _(t):
     return t.nodes().select("id").join(gone, "id", "left_anti")
 
 
+@op("REL10_scoped_delete_all", f"""WITH RECURSIVE {GRAPH_SQL}, steps AS (SELECT DISTINCT node, other FROM both_ways),
+p AS (SELECT id AS node, 0 AS depth, scope FROM nodes WHERE id = 'p1' UNION SELECT other, depth + 1, scope FROM p JOIN steps s ON s.node = p.node WHERE depth < 3)
+SELECT id FROM nodes n WHERE id <> 'p1' AND NOT EXISTS (SELECT 1 FROM p WHERE p.node = n.id AND p.scope = n.scope)""")
+def _(t):
+    return graph.scoped_delete(t.nodes(), t.edges(), t.nodes().where("id = 'p1'")).select("id")
+
+
 
 
 @op("SCL1_graph_ids")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry import catalog
 from quarry.functions import text
-from quarry.operators import vectors
+from quarry.operators import graph, vectors
 
 PATHS = ["a/b.RS", "x.cpp", "y.cs", "z.php", "k.kt", "p.tsx", "h.h", "q.m", "s.ps1", "n.md", "https://a.org/m.py", "https://host.com", ".py", "a.py/", "noext", "u.HTML", "w.js", "v.yml", "d.c/e", "f.go\n", ""]
 
@@ -37,3 +37,17 @@ def test_languages_and_mime_of_files(spark, tmp_path):
     assert got[".py"] == ("unknown", "python", None, "python", "text/x-python", plain) and got["a.py/"][:3] == ("python", "unknown", "python")
     assert got["u.HTML"] == ("unknown", "unknown", "html", "html", plain, "text/html") and got["n.md"] == ("unknown", "unknown", None, "unknown", "text/markdown", "text/markdown")
     assert all(got[x][:4] == ("unknown", "unknown", None, "unknown") and got[x][4] == plain for x in ("https://host.com", "noext", "d.c/e", "f.go\n", ""))
+
+
+def test_scoped_delete_takes_three_hops_of_one_scope(spark):
+    nodes = spark.createDataFrame([("d", "A"), ("b", "B"), ("c", "A"), ("e", "A"), ("f", "A"), ("g", None), ("d2", "B"), ("h", "A")], "id string, scope string")
+    edges = spark.createDataFrame([("d", "r", "b"), ("c", "r", "b"), ("c", "r", "e"), ("e", "r", "f"), ("d", "r", "g"), ("d2", "r", "e")], "src string, rel string, dst string")
+    left = lambda where, **kw: sorted(r.id for r in graph.scoped_delete(nodes, edges, nodes.where(where), **kw).collect())
+    assert left("id = 'd'") == ["b", "d2", "f", "g", "h"]
+    assert left("id = 'd'", hops=2) == ["b", "d2", "e", "f", "g", "h"]
+    assert left("id in ('d', 'd2')") == ["f", "g", "h"]
+
+
+def test_canonical_name_keeps_all_acronyms(spark):
+    names = spark.createDataFrame([("SOAPGateway rest_json",), ("  sdk__cli tool",), ("prro API",), ("",)], "s string")
+    assert [r[0] for r in names.select(text.canonical_name(F.col("s"))).collect()] == ["SOAP Gateway REST JSON", "SDK CLI Tool", "PRRO API", ""]
