@@ -194,8 +194,18 @@ def _(t):
 
 @op("WIN9_specificity", "SELECT doc_id, CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 1 WHEN 'src3' THEN 2 ELSE 3 END AS specificity FROM documents ORDER BY specificity, doc_id LIMIT 100")
 def _(t):
+    return specificity(t.documents).limit(100)
+
+
+def specificity(documents):
+    """All documents, the most specific first."""
     s = F.col("source")
-    return t.documents.select("doc_id", F.when(s == "src1", 0).when(s == "src2", 1).when(s == "src3", 2).otherwise(3).alias("specificity")).orderBy("specificity", "doc_id").limit(100)
+    return documents.select("doc_id", F.when(s == "src1", 0).when(s == "src2", 1).when(s == "src3", 2).otherwise(3).alias("specificity")).orderBy("specificity", "doc_id")
+
+
+@op("WIN9_specificity_all", "SELECT doc_id, CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 1 WHEN 'src3' THEN 2 ELSE 3 END AS specificity FROM documents ORDER BY specificity, doc_id")
+def _(t):
+    return specificity(t.documents)
 
 
 @op("SET1_optional_branches", "SELECT r_name AS name, 'region' AS kind FROM region UNION ALL SELECT n_name, 'nation' FROM nation")

@@ -108,7 +108,17 @@ def _(t):
 
 @op("TOP13_nulls_last", "SELECT doc_id, nullif(lang, 'de') AS lang FROM documents ORDER BY nullif(lang, 'de') DESC NULLS LAST, doc_id LIMIT 900")
 def _(t):
-    return t.documents.select("doc_id", F.nullif("lang", F.lit("de")).alias("lang")).orderBy(F.desc_nulls_last("lang"), "doc_id").limit(900)
+    return nulls_last(t.documents).limit(900)
+
+
+def nulls_last(documents):
+    """All documents by language from the last one, those without (German here) at the end."""
+    return documents.select("doc_id", F.nullif("lang", F.lit("de")).alias("lang")).orderBy(F.desc_nulls_last("lang"), "doc_id")
+
+
+@op("TOP13_nulls_last_all", "SELECT doc_id, nullif(lang, 'de') AS lang FROM documents ORDER BY nullif(lang, 'de') DESC NULLS LAST, doc_id")
+def _(t):
+    return nulls_last(t.documents)
 
 
 @op("TOP14_page", "SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 25 OFFSET 50")

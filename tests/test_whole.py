@@ -51,3 +51,14 @@ def test_scoped_delete_takes_three_hops_of_one_scope(spark):
 def test_canonical_name_keeps_all_acronyms(spark):
     names = spark.createDataFrame([("SOAPGateway rest_json",), ("  sdk__cli tool",), ("prro API",), ("",)], "s string")
     assert [r[0] for r in names.select(text.canonical_name(F.col("s"))).collect()] == ["SOAP Gateway REST JSON", "SDK CLI Tool", "PRRO API", ""]
+
+
+def test_ordered_queries_return_every_row(spark, tmp_path):
+    docs = [(i, f"src{i // 250}", ("fr", "de", "en", None)[i // 250] if i < 1000 else "fr") for i in range(2000)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in catalog.QUERIES["WIN9_specificity_all"](spark, str(tmp_path)).collect()]
+    class_of = {"src1": 0, "src2": 1, "src3": 2}
+    assert got == [(i, c) for c, i in sorted((class_of.get(s, 3), i) for i, s, _ in docs)] and {c for _, c in got} == {0, 1, 2, 3}
+    got = [tuple(r) for r in catalog.QUERIES["TOP13_nulls_last_all"](spark, str(tmp_path)).collect()]
+    want = {lang: [i for i, _, x in docs if x == lang] for lang in ("fr", "en")}
+    assert got == [(i, lang) for lang in ("fr", "en") for i in want[lang]] + [(i, None) for i, _, x in docs if x in ("de", None)]
