@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows and queries of a batch search that meet in one group at most, about.
+SHARD_ROWS, QUERY_ROWS = 8192, 512
 ENTITY_FLOOR, SUMMARY_FLOOR, CHUNK_FLOOR = 0.78, 0.72, 0.65
 
 
@@ -54,10 +56,14 @@ def top_k(rows: DataFrame, query: Column, k: int, where: Column | None = None, f
     return found if floor is None else found.where(F.col("score") >= floor)
 
 
-def top_k_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", digits: int = 6) -> DataFrame:
-    """The k best rows of each of a few queries (query_id, query), which must be few: they are broadcast below a bound of 1000."""
-    few = queries.limit(1000)
-    scored = rows.join(F.broadcast(few)).withColumn("score", F.round(cosine(F.col("embedding"), F.col("query")), digits))
+def top_k_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", digits: int = 6, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """The k best rows of each query (query_id, query), however many: blocks of queries meet shards of rows by an equi-join, and no pair of them grows with the input."""
+    shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((rows, shard_rows), (queries, query_rows)))
+    lane = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    sharded = rows.withColumn("__shard", lane(shards, id_col, "embedding")).withColumn("__block", each(blocks))
+    blocked = queries.withColumn("__block", lane(blocks, "query_id", "query")).withColumn("__shard", each(shards))
+    scored = sharded.join(blocked, ["__shard", "__block"]).drop("__shard", "__block").withColumn("score", F.round(cosine(F.col("embedding"), F.col("query")), digits))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -1,6 +1,7 @@
 """Operators on inputs that the given tables don't hold, or beyond what a registered query shows of them."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry import catalog
@@ -62,3 +63,16 @@ def test_ordered_queries_return_every_row(spark, tmp_path):
     got = [tuple(r) for r in catalog.QUERIES["TOP13_nulls_last_all"](spark, str(tmp_path)).collect()]
     want = {lang: [i for i, _, x in docs if x == lang] for lang in ("fr", "en")}
     assert got == [(i, lang) for lang in ("fr", "en") for i in want[lang]] + [(i, None) for i, _, x in docs if x in ("de", None)]
+
+
+def test_batch_search_answers_every_query(spark):
+    rng = np.random.default_rng(7)
+    vectors_of = lambda n: [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, 8)))]
+    rows, queries = vectors_of(60), vectors_of(1300)
+    a, b = (spark.createDataFrame(x, f"{i} long, {v} array<double>") for x, i, v in ((rows, "id", "embedding"), (queries, "query_id", "query")))
+    x, q = (np.array([v for _, v in y]) for y in (rows, queries))
+    score = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T, 6)
+    want = {(i, r + 1): (int(c), float(score[i, c])) for i in range(len(q)) for r, c in enumerate(np.lexsort((np.arange(len(x)), -score[i]))[:3])}
+    for sizes in ({}, {"shard_rows": 16, "query_rows": 300}):
+        got = {(r.query_id, r.rank): (r.id, r.score) for r in vectors.top_k_each(a, b, 3, **sizes).collect()}
+        assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-5 for x in want)
