@@ -6,7 +6,7 @@ All stages but the last keep the columns of documents.  Rows of the last may rep
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, simhash, toxicity
@@ -19,13 +19,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each component the document whose doc_id names it stays; of rows that share that doc_id, the first by text.  Components without any doc_id stay."""
-    found = simhash.near_duplicates(docs)
-    # documents are named by doc_id here; only rows without one can't be found again, and stay
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__nr", F.row_number().over(first)).where("__nr = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """Operator 3: one row of each component stays, also where rows share a doc_id or have none."""
+    return simhash.survivors(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

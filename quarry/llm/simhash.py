@@ -90,17 +90,32 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return met.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def rooted(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """distinct fingerprints (fp, ...) with the root of their component, a fingerprint."""
+    roots = components(links(distinct, radius)).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id reachable over links."""
     fps, _ = written(fingerprints(docs, text, doc_id, shingle))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct, radius)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    found = rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), radius)
+    least = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = found.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component, with all its columns: the one of the smallest doc_id, null last, then of the smallest SHA-256 of its text, then of the smallest other columns."""
+    # rows of one text have one fingerprint, so doc_id and digest name a row up to its exact copies
+    keyed = docs.withColumn("__key", F.struct(F.col(doc_id).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest")))
+    fps, _ = written(fingerprints(keyed, text, "__key", shingle).select("fp", F.struct(F.col("doc_id.doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("key")).alias("row")))
+    found = rooted(fps.groupBy("fp").agg(F.min("row").alias("row")), radius)
+    kept = found.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("__key"))
+    others = Window.partitionBy("__key").orderBy(*[c for c in docs.columns if c != doc_id])
+    return keyed.join(kept, "__key", "left_semi").withColumn("__nr", F.row_number().over(others)).where("__nr = 1").select(*docs.columns)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
