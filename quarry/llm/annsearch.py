@@ -3,8 +3,8 @@
 Method: on a bounded sample of SAMPLE vectors the exact neighbour graph is built and cut into PARTS balanced parts
 (bisection along the graph's spectral order, then capacity-bound moves of nodes to where most of their neighbours are).  A
 small classifier with one hidden layer learns which parts hold a vector's neighbours.  Every row of the table is indexed in
-its most probable part; a query is routed to as many of its most probable parts as reached RECALL on the sample, and the rows
-there are reranked by their exact inner product.  Parts are dealt over shards by a hash of the id, so a part that holds a
+its most probable part; a query is routed to as many of its most probable parts as reached RECALL on the sample,
+and on to further ones while these hold fewer than k other rows; the rows there are reranked by their exact inner product.  Parts are dealt over shards by a hash of the id, so a part that holds a
 third of all rows is many tasks' work; queries meet the shards in blocks, by an equi-join on (part, shard).
 
 Recall on the synthetic vectors, which have next to no structure, takes most parts; see the README for figures.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import QUERY_ROWS, SHARD_ROWS, best, lane, matrix, queries_of, shards_for, usable
+from .blocks import QUERY_ROWS, SHARD_ROWS, best, lane, matrix, shards_for, usable
 from .common import table, written
 
 SAMPLE = 4096
@@ -144,10 +144,11 @@ def learn(x, parts: int = PARTS, graph: int = GRAPH, recall: float = RECALL, k:
     return {"dim": x.shape[1], "probes": int(probe[min(len(probe) - 1, int(np.ceil(recall * len(probe))) - 1)]) + 1, "model": model}
 
 
-def _routed(router: dict, probes: int):
+def _routed(router: dict, probes: int | None = None):
+    """The ``probes`` most probable parts of each row, all of them where None."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
 
         for pdf in batches:
             if not len(pdf):
@@ -158,7 +159,7 @@ def _routed(router: dict, probes: int):
                 x = np.stack([np.asarray(v, np.float64) for v in pdf["vec"][fits]])
                 for i, p in zip(np.flatnonzero(fits), ranked_parts(router["model"], x)[:, :probes].tolist()):
                     parts[i] = p
-            yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "parts": parts})
+            yield pdf.assign(parts=parts)
 
     return run
 
@@ -196,6 +197,25 @@ def _reranked(k: int):
     return run
 
 
+def _asked(whole: DataFrame, every: int) -> DataFrame:
+    """The queries (see queries_of), with the number of rows that share their id."""
+    own = whole.where(F.col("id") % every == 0)
+    return own.groupBy("id").agg(F.min("vec").alias("vec"), F.count("*").alias("own"))
+
+
+def enough(asked: DataFrame, counts: DataFrame, probes: int, k: int) -> DataFrame:
+    """(id, vec, dim, parts): of all parts of a query by falling probability the first ``probes``, and as many more as it takes until they hold k rows besides its own, or none is left."""
+    sizes = counts.groupBy("dim").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("n_of"))
+    taken = lambda n, parts: F.struct(n.cast("long").alias("n"), parts.cast("int").alias("parts"))
+
+    def take(s, part):
+        full = (s["parts"] >= probes) & (s["n"] >= F.col("own") + k)
+        return F.when(full, s).otherwise(taken(s["n"] + F.coalesce(F.element_at("n_of", part), F.lit(0)), s["parts"] + 1))
+
+    found = asked.withColumn("dim", F.size("vec")).join(sizes, "dim")
+    return found.select("id", "vec", "dim", F.slice("parts", 1, F.aggregate("parts", taken(F.lit(0), F.lit(0)), take)["parts"]).alias("parts"))
+
+
 def nearest(rows: DataFrame, every: int = 20, k: int = TOP, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``, against all rows."""
     import numpy as np
@@ -208,16 +228,16 @@ def nearest(rows: DataFrame, every: int = 20, k: int = TOP, vec_id: str = "vec_i
         router = learn(np.stack([np.asarray(v, np.float64) for v in some["vec"]]), parts, recall=recall, k=k)
     else:
         router = {"dim": 0, "probes": 1, "model": None}
-    kind = "id long, vec array<double>, parts array<int>"
-    placed, _ = written(whole.mapInPandas(_routed(router, 1), kind).select("id", "vec", F.size("vec").alias("dim"), F.get("parts", F.lit(0)).alias("part")))
-    asked = queries_of(whole, every).mapInPandas(_routed(router, router["probes"]), kind)
-    # each part in shards of bounded size: one row a (length, part) comes back
+    kind = "id long, vec array<double>{}, parts array<int>"
+    placed, _ = written(whole.mapInPandas(_routed(router, 1), kind.format("")).select("id", "vec", F.size("vec").alias("dim"), F.get("parts", F.lit(0)).alias("part")))
     counts = placed.groupBy("dim", "part").agg(F.count("*").alias("n"))
+    asked = enough(_asked(whole, every).mapInPandas(_routed(router), kind.format(", own long")), counts, router["probes"], k)
+    # each part in shards of bounded size: one row a (length, part) comes back
     sized = counts.select("dim", "part", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"))
     index = placed.join(F.broadcast(sized) if parts <= 1024 else sized, ["dim", "part"]).withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int"))
     index = index.groupBy("dim", "part", "shard").applyInPandas(_packed(["dim", "part", "shard"]), "dim int, part int, shard int, data binary")
     n_blocks = shards_for(placed.count(), every * query_rows)
-    blocks = asked.select("id", "vec", F.size("vec").alias("dim"), F.explode("parts").alias("part"), lane(n_blocks).alias("block"))
+    blocks = asked.select("id", "vec", "dim", F.explode("parts").alias("part"), lane(n_blocks).alias("block"))
     blocks = blocks.groupBy("dim", "part", "block").applyInPandas(_packed(["dim", "part", "block"]), "dim int, part int, block int, data binary").withColumnRenamed("data", "asked")
     meet = blocks.join(sized, ["dim", "part"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(index, ["dim", "part", "shard"])
     meet = meet.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "part", "block", "shard")
