@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Method: the rank file becomes a literal map from pairs of ids to the id, which is the rank, of their union (sparse rows
-laid over each other in one array, as Spark looks maps up one entry after the other).  A word's bytes become an array of
+laid over each other in one array, as Spark looks maps up one entry after the other).  The map is the one row of a local
+relation, taken as a scalar subquery: it is evaluated once a query, and plans and their texts only name it.  A word's bytes become an array of
 ids, and ``aggregate`` folds the ranked merges over it: each step joins the adjacent pair of lowest rank and looks up only
 the two pairs that this changes.  Distinct words are folded:
 the words that are frequent in the whole corpus once each, the others once per document.  The frequent ones (at most
@@ -96,20 +97,21 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int], list[int]
 
 
 @lru_cache(4)
-def _literal(path: str) -> tuple[str, dict[str, int]]:
+def _literal(path: str) -> tuple[dict[str, list[int]], dict[str, int]]:
     ranks = read_ranks(path)
     base, owner, union = pair_table(ranks)
-    return json.dumps({"base": base, "owner": owner, "union": union, "byte": [ranks[bytes([i])] for i in range(256)]}), unreached(ranks)
+    return {"base": base, "owner": owner, "union": union, "byte": [ranks[bytes([i])] for i in range(256)]}, unreached(ranks)
 
 
-def rank_map(path: str) -> tuple[Column, dict[str, int]]:
+def rank_map(spark: SparkSession, path: str) -> tuple[Column, dict[str, int]]:
     """The ranks as a literal: base, owner and union of pair_table, and byte, the ids of the 256 bytes; and what is unreached.
 
-    A union's id is its rank, so the least id among the unions of adjacent pairs is the merge to make next.  The literal is a
-    map as the planner hashes literal arrays entry by entry, again and again.
+    A union's id is its rank, so the least id among the unions of adjacent pairs is the merge to make next.
     """
-    text, whole = _literal(path)
-    return F.from_json(F.lit(text), "map<string,array<bigint>>"), whole
+    found, whole = _literal(path)
+    arrays = pa.table({k: pa.array([v], pa.list_(pa.int32())) for k, v in found.items()})
+    row = spark.createDataFrame(arrays).select(F.create_map(*[c for k in found for c in (F.lit(k), F.col(k))]).alias("ranks"))
+    return row.scalar(), whole
 
 
 def unreached(ranks: dict[bytes, int]) -> dict[str, int]:
@@ -135,7 +137,7 @@ def merged(word: Column, ranks: Column, whole: dict[str, int]) -> Column:
         def packed(a: Column, b: Column) -> Column:
             slot = F.get(base, a) + b
             union = F.when(F.get(owner, slot) == a, F.get(unions, slot))
-            return F.shiftleft(F.coalesce(union, F.lit(_NEVER).cast("long")), 32) + a
+            return F.shiftleft(F.coalesce(union, F.lit(_NEVER)).cast("long"), 32) + a
 
         def step(acc: Column, _: Column) -> Column:
             def joined(low: Column) -> Column:
@@ -188,7 +190,7 @@ def hot_words(docs: DataFrame, text: str, pattern: str, ranks: Column, whole: di
         least = n
     chosen = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
     parts = max(1, min(kept // 5000, 4 * spark.sparkContext.defaultParallelism))
-    found = chosen.repartition(parts, "word").select("word", merged(F.col("word"), ranks, whole).alias("ids")).toArrow()
+    found = chosen.repartition(parts, "word").select("word", ranks.alias("__ranks")).select("word", merged(F.col("word"), F.col("__ranks"), whole).alias("ids")).toArrow()
     removed(spark, path)
     return found
 
@@ -320,7 +322,7 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: list[str] | None =
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)  # stays set: the result is lazy
     ranks, pattern = read_ranks(ranks_path or own_path), pattern or own_pattern
-    literal, whole = rank_map(ranks_path or own_path)
+    literal, whole = rank_map(spark, ranks_path or own_path)
     found = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in found]
     found_hot = hot_words(docs, text, pattern, literal, whole, hot)
@@ -330,7 +332,9 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: list[str] | None =
     pieces = spark.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id) + 1)])
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema]
     split = docs.select(*[F.col(f"`{c}`") for c in keep], words_of(F.col(text), pattern).alias("__words")).mapInArrow(_known(words, keep), ", ".join([*kinds, "__at array<int>", "__tail array<string>"]))
-    folded = split.select(*[F.col(f"`{c}`") for c in keep], "__at", F.transform("__tail", lambda w: merged(w, literal, whole)).alias("__enc"))
+    # the planner merges both projections, so that the map is never a column of a row (a subquery can't be written inside a higher-order function)
+    ranked = split.select("*", literal.alias("__ranks"))
+    folded = ranked.select(*[F.col(f"`{c}`") for c in keep], "__at", let(F.col("__ranks"), lambda m: F.transform("__tail", lambda w: merged(w, m, whole))).alias("__enc"))
     last = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["ids array<int>", "decoded binary"]
     return folded.mapInArrow(_assembled(word_ids, pieces, keep, digests), ", ".join([*kinds, *last]))
 
