@@ -1,6 +1,7 @@
 """Approximate nearest neighbours over learned partitions.
 
-Method: on a bounded sample of SAMPLE vectors the exact neighbour graph is built and cut into PARTS balanced parts
+Method: on a bounded sample of SAMPLE vectors the exact neighbour graph is built and cut into balanced parts, whose number
+grows with the square root of the table's rows (parts_for; at most one for every 32 vectors of the sample),
 (bisection along the graph's spectral order, then capacity-bound moves of nodes to where most of their neighbours are).  A
 small classifier with one hidden layer learns which parts hold a vector's neighbours.  Every row of the table is indexed in
 its most probable part; a query is routed to as many of its most probable parts as reached RECALL on the sample,
@@ -17,6 +18,7 @@ count each; ties go to the smaller id; tables below SAMPLE rows are fitted whole
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -27,6 +29,7 @@ from .blocks import QUERY_ROWS, SHARD_ROWS, best, lane, matrix, shards_for, usab
 from .common import table, written
 
 SAMPLE = 4096
+#: Parts of a small table.
 PARTS = 16
 GRAPH = 16
 RECALL = 0.96
@@ -124,6 +127,11 @@ def ranked_parts(model, x):
     return np.argsort(-o, axis=1, kind="stable")
 
 
+def parts_for(n: int) -> int:
+    """Parts of a table of n rows: an eighth of the square root, PARTS at least."""
+    return max(PARTS, math.isqrt(n) // 8)
+
+
 def learn(x, parts: int = PARTS, graph: int = GRAPH, recall: float = RECALL, k: int = TOP) -> dict:
     """The router: a classifier and the number of parts to probe."""
     import numpy as np
@@ -216,11 +224,13 @@ def enough(asked: DataFrame, counts: DataFrame, probes: int, k: int) -> DataFram
     return found.select("id", "vec", "dim", F.slice("parts", 1, F.aggregate("parts", taken(F.lit(0), F.lit(0)), take)["parts"]).alias("parts"))
 
 
-def nearest(rows: DataFrame, every: int = 20, k: int = TOP, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest(rows: DataFrame, every: int = 20, k: int = TOP, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, parts: int | None = None, recall: float = RECALL, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``, against all rows."""
     import numpy as np
 
     whole = usable(rows, vec_id, embedding, nonzero=True)
+    rows_of = whole.count()
+    parts = parts or parts_for(rows_of)
     some = whole.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     if len(some):
         lengths = some["vec"].map(len)
@@ -236,7 +246,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = TOP, vec_id: str = "vec_i
     sized = counts.select("dim", "part", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"))
     index = placed.join(F.broadcast(sized) if parts <= 1024 else sized, ["dim", "part"]).withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int"))
     index = index.groupBy("dim", "part", "shard").applyInPandas(_packed(["dim", "part", "shard"]), "dim int, part int, shard int, data binary")
-    n_blocks = shards_for(placed.count(), every * query_rows)
+    n_blocks = shards_for(rows_of, every * query_rows)
     blocks = asked.select("id", "vec", "dim", F.explode("parts").alias("part"), lane(n_blocks).alias("block"))
     blocks = blocks.groupBy("dim", "part", "block").applyInPandas(_packed(["dim", "part", "block"]), "dim int, part int, block int, data binary").withColumnRenamed("data", "asked")
     meet = blocks.join(sized, ["dim", "part"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(index, ["dim", "part", "shard"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests, local mode)."""
+    """The folder that every executor sees: spark.checkpoint.dir, or in local mode a temporary one where that is unset.  On a cluster it must be set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/checkpoints/quarry"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints/quarry"
+
+
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its own columns of these names under other names, and what selects docs' columns again, named as before."""
+    kept = {c: f"__own_{c}" if c in names else c for c in docs.columns}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in kept.items()]), lambda df: df.select(*[F.col(f"`{n}`").alias(c) for c, n in kept.items()])
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:

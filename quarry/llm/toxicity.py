@@ -4,18 +4,21 @@ Method: logistic regression over the presence of words and word beginnings.  In
 mention a group, the group's name is swapped for others of its list; the training loss adds the squared change of the
 document's logit, so a group's name alone can't move the score, and neutral mentions aren't taken for toxic ones.
 
-Bounds: the classifier is fitted on at most MAX_LABELLED labelled rows (by a hash of doc_id; these are broadcast to the scan
-of documents, so texts aren't shuffled) and MAX_FEATURES features, those whose share among toxic rows stands out most,
-counted over that sample on the executors.  Scoring reads every whole text.  Label rows whose crc32(doc_id as text) mod 3 is
+Bounds: the classifier is fitted on at most MAX_LABELLED labelled documents (by a hash of doc_id, one text each: the least
+where an id repeats; the ids are broadcast to the scan of documents, so only sampled texts are shuffled).  Its features are
+all those of that sample whose share among toxic rows departs from the mean, up or down, by more than the largest departure
+that so many chance features would show, sqrt(2 ln m) standard errors; they are counted on the executors.  The ridge penalty
+is the one of PENALTIES with the least loss in cross-validation over the same sample.  Scoring reads every whole text.  Label rows whose crc32(doc_id as text) mod 3 is
 1 are held out and never learned from.  Doc_id, source, lang and labels are no inputs of a score.
 
-Defined results: null and empty texts get the score of a text without any known feature; repeated rows are scored each;
+Defined results: null and empty texts, like all without a known feature, get the share of toxic labels; repeated rows are scored each;
 where one doc_id has several labels, toxic wins; null labels are ignored; without labels of both kinds all scores are the
 smoothed share of toxic labels; an empty table gives an empty table; output columns replace columns of the same name.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import removed, table, written
 
 MAX_LABELLED = 16384
-MAX_FEATURES = 4096
-MIN_TOXIC_ROWS = 3
+MIN_ROWS = 3
+PENALTIES = (1e-6, 1e-5, 1e-4)
+FOLDS = 3
 PREFIXES = (4, 5)
 THRESHOLD = 0.7
 #: Names of groups that may stand for each other in a sentence.
@@ -101,8 +105,11 @@ def _examples(place: dict[str, int], groups):
         at = lambda text: sorted(place[f] for f in features_of(words_of(text)) if f in place)
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
+            own = [at(t) for t in texts]
+            # of a swap only what it changes: the features that come or go
+            swaps = [[sorted({*x} ^ {*at(s)}) for s in swapped(t, groups)] for t, x in zip(texts, own)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), b.column(2), pa.array([at(t) for t in texts], pa.list_(pa.int32())), pa.array([[at(s) for s in swapped(t, groups)] for t in texts], pa.list_(pa.list_(pa.int32())))],
+                [b.column(1), b.column(2), pa.array(own, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))],
                 names=["toxic", "h", "x", "swaps"],
             )
 
@@ -110,8 +117,9 @@ def _examples(place: dict[str, int], groups):
 
 
 def fit(rows: list[tuple[int, list[int], list[list[int]]]], strength: list[float], penalty: float = 1.0, l2: float = 1e-5, steps: int = 500):
-    """Weights and intercept for rows (toxic, features, features after each swap), by Adam over all rows.
+    """Weights and intercept for rows (toxic, features, features that each swap brings or takes), by Adam over all rows.
 
+    The intercept stays at the log odds of the (smoothed) share of toxic rows, so a text without known features gets that share.
     strength: how well each feature is supported, 0 to 1; a weight's ridge penalty is divided by its square, so that rare features explain little.
     """
     import numpy as np
@@ -127,12 +135,13 @@ def fit(rows: list[tuple[int, list[int], list[list[int]]]], strength: list[float
     doc, col = np.repeat(np.arange(len(rows)), lens), np.fromiter((j for r in rows for j in r[1]), int, int(lens.sum()))
     pair_col, pair_sign, pair_id, pairs = [], [], [], 0
     for _, x, swaps in rows:
+        own = set(x)
         for s in swaps:
-            for j in set(x) ^ set(s):
-                pair_col.append(j), pair_sign.append(1.0 if j in x else -1.0), pair_id.append(pairs)
+            for j in s:
+                pair_col.append(j), pair_sign.append(1.0 if j in own else -1.0), pair_id.append(pairs)
             pairs += 1
     pc, ps, pi = np.array(pair_col, int), np.array(pair_sign), np.array(pair_id, int)
-    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    m, v = np.zeros(n_features), np.zeros(n_features)
     for t in range(1, steps + 1):
         z = np.bincount(doc, w[col], len(rows)) + c
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
@@ -140,29 +149,48 @@ def fit(rows: list[tuple[int, list[int], list[list[int]]]], strength: list[float
         if pairs:
             d = np.bincount(pi, ps * w[pc], pairs)
             gw += 2 * penalty * np.bincount(pc, ps * d[pi], n_features) / pairs
-        grad = np.append(gw, g.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, c = w - step[:-1], c - step[-1]
+        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w, c
 
 
-def learned(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", groups=GROUPS, penalty: float = 1.0, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> tuple[dict[str, float], float]:
+def chosen_penalty(rows: list[tuple[int, list[int], list[list[int]]]], folds: list[int], strength: list[float], penalty: float) -> float:
+    """The ridge penalty of PENALTIES with the least log loss over left-out folds of the learning rows; the larger one on ties."""
+    import numpy as np
+
+    loss = {}
+    for l2 in PENALTIES:
+        loss[l2] = 0.0
+        for k in range(FOLDS):
+            w, c = fit([r for r, f in zip(rows, folds) if f != k], strength, penalty, l2, 150)
+            for (y, x, _), f in zip(rows, folds):
+                if f == k:
+                    z = float(w[x].sum()) + c
+                    loss[l2] += float(np.logaddexp(0, -z if y else z))
+    return min(PENALTIES, key=lambda l2: (loss[l2], -l2))
+
+
+def learned(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", groups=GROUPS, penalty: float = 1.0, max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], float]:
     """The weight of each feature and the intercept."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)  # so a broadcast of at most that many rows
-    sample = docs.join(F.broadcast(known), F.col(doc_id) == F.col("__id")).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("__y").alias("toxic"), F.xxhash64("__id", text).alias("h"))
+    found = docs.join(F.broadcast(known), F.col(doc_id) == F.col("__id")).groupBy("__id").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("text"), F.max("__y").alias("toxic"))
+    sample, path = written(found.select("text", "toxic", F.xxhash64("text").alias("h")))
     counts = sample.mapInArrow(_counted, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     size = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = size[1] / max(size[0], 1)
-    stands_out = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(max(share * (1 - share), 1e-9)))
-    chosen = counts.where(F.col("toxic") >= MIN_TOXIC_ROWS).withColumn("z", stands_out).where("z > 2").orderBy(F.desc("z"), "feature").limit(max_features)
-    found = chosen.select("feature", "z").collect()
+    departs = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(max(share * (1 - share), 1e-9)))
+    counts = counts.where(F.col("n") >= MIN_ROWS).withColumn("z", departs)
+    limit = math.sqrt(2 * math.log(max(counts.count(), 2)))
+    found = counts.where(F.abs("z") > limit).orderBy(F.desc(F.abs("z")), "feature").select("feature", "z").collect()
     place = {r.feature: i for i, r in enumerate(found)}
     rows = sample.mapInArrow(_examples(place, groups), "toxic int, h long, x array<int>, swaps array<array<int>>").toArrow().to_pylist()
+    removed(docs.sparkSession, path)
     rows.sort(key=lambda r: (r["h"], r["toxic"], r["x"]))
-    w, c = fit([(r["toxic"], r["x"], r["swaps"]) for r in rows], [r.z / found[0].z for r in found], penalty)
+    examples, strength = [(r["toxic"], r["x"], r["swaps"]) for r in rows], [abs(r.z / found[0].z) for r in found]
+    l2 = chosen_penalty(examples, [r["h"] % FOLDS for r in rows], strength, penalty)
+    w, c = fit(examples, strength, penalty, l2)
     return {f: float(w[i]) for f, i in place.items()}, float(c)
 
 

@@ -1,7 +1,8 @@
 r"""URL parts, rules and listed URLs, in DataFrame functions only.
 
-Method: canonical listed URLs fill a blocked Bloom filter of BLOCKS blocks of 256 bits, each URL eight bits of one block (a
-fixed 128 KB, whatever the list, so its rows may be broadcast).  URLs that miss a bit are not listed.  Possible hits alone
+Method: canonical listed URLs fill a blocked Bloom filter of 256-bit blocks, one for every PER_BLOCK of them (counted first),
+each URL eight bits of one block.  URLs that miss a bit are not listed.  The filter is broadcast up to MAX_BROADCAST blocks
+(some 3 MB, a list of a million URLs) and joined by a shuffle beyond.  Possible hits alone
 are shuffled to an exact hash join with the list, which removes false positives.  Rules (host, path) come first: they fit the
 host and its subdomains and paths that begin with the rule's; the longest rule wins.
 
@@ -18,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, table, written
 
-BLOCKS = 4096
+PER_BLOCK = 16
+MAX_BROADCAST = 1 << 16
 MAX_RULES = 1000
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -63,17 +65,21 @@ def rule_for(host: Column, path: Column, rules) -> Column:
     return F.array_max(F.transform(fits, lambda r: F.struct((F.length(r["h"]) + F.length(r["p"])).alias("size"), F.length(r["h"]).alias("wide"), F.concat(r["h"], r["p"]).alias("rule"), r["v"].alias("verdict"))))
 
 
-def _bits(url: str) -> list[Column]:
+def blocks_for(n: int) -> int:
+    return max(1, -(-n // PER_BLOCK))
+
+
+def _bits(url: str, blocks: int) -> list[Column]:
     """A URL's block and its bits in the four words of the block."""
-    block = F.expr(f"cast(pmod(shiftrightunsigned(xxhash64({url}), 32), {BLOCKS}L) as int)").alias("block")
+    block = F.expr(f"pmod(xxhash64({url}), {blocks}L)").alias("block")
     second = f"xxhash64({url}, 1)"
     bit = lambda at: f"shiftleft(1L, cast(shiftrightunsigned({second}, {at}) & 63L as int))"
     return [block, *[F.expr(f"{bit(12 * i)} | {bit(12 * i + 6)}").alias(f"m{i}") for i in range(4)]]
 
 
-def bloom(listed: DataFrame, url: str = "canon") -> DataFrame:
-    """The filter: at most BLOCKS rows (block, four words)."""
-    return listed.select(*_bits(url)).groupBy("block").agg(*[F.bit_or(f"m{i}").alias(f"w{i}") for i in range(4)])
+def bloom(listed: DataFrame, blocks: int, url: str = "canon") -> DataFrame:
+    """The filter: at most ``blocks`` rows (block, four words)."""
+    return listed.select(*_bits(url, blocks)).groupBy("block").agg(*[F.bit_or(f"m{i}").alias(f"w{i}") for i in range(4)])
 
 
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url", listed_url: str = "url", rules=RULES) -> DataFrame:
@@ -81,10 +87,12 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", listed_url: str
     out = ["host", "path", "rule", "verdict"]
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in out]
     names = listed.select(canonical(F.col(listed_url)).alias("__listed")).where("__listed <> ''").distinct()
+    names, _ = written(names)  # read three times, and counted
+    blocks = blocks_for(names.count())
     rows = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), canonical(F.col(url)).alias("__canon"))
-    rows = rows.withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules)).select("*", *[b.alias(f"__{n}") for b, n in zip(_bits("__canon"), ("block", "m0", "m1", "m2", "m3"))])
-    seen = bloom(names, "__listed").select(*[F.col(c).alias(f"__{c}") for c in ("block", "w0", "w1", "w2", "w3")])
-    rows = rows.join(F.broadcast(seen), "__block", "left")  # at most BLOCKS rows
+    rows = rows.withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules)).select("*", *[b.alias(f"__{n}") for b, n in zip(_bits("__canon", blocks), ("block", "m0", "m1", "m2", "m3"))])
+    seen = bloom(names, blocks, "__listed").select(*[F.col(c).alias(f"__{c}") for c in ("block", "w0", "w1", "w2", "w3")])
+    rows = rows.join(F.broadcast(seen) if blocks <= MAX_BROADCAST else seen, "__block", "left")
     hit = F.col("__rule").isNull() & (F.col("__canon") != "")
     for i in range(4):
         hit = hit & (F.coalesce(F.col(f"__w{i}"), F.lit(0)).bitwiseAND(F.col(f"__m{i}")) == F.col(f"__m{i}"))

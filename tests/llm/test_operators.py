@@ -236,3 +236,90 @@ def test_token_files(spark, tmp_path):
     docs = [[0, 31999, 125], None, [], list(range(1000))]
     tokenscan.write_flat(spark.createDataFrame([(d,) for d in docs], "t array<int>").coalesce(1), "t", f"{tmp_path}/flat")
     assert sorted(r.n_tokens for r in tokenscan.scan_files(spark, f"{tmp_path}/flat").collect()) == [0, 0, 3, 1000]
+
+
+def test_token_scan_keeps_ids(spark, tmp_path):
+    ids = [None, 0, -1, 5, 31999, 32000, 2**53 + 1, 2**63 - 1, -(2**63), -(2**53) - 1]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    back = df.select("doc_id", tokenscan.id_of_tokens(tokenscan.tokens_of_id(F.col("doc_id"))).alias("back")).collect()
+    assert len(back) == len(ids) and all(r.doc_id == r.back for r in back)
+    tokenscan.write_flat(df.select(F.concat(tokenscan.tokens_of_id(F.col("doc_id")), F.array_repeat(F.lit(7), 40)).alias("t")).coalesce(1), "t", f"{tmp_path}/flat")
+    for block in (3, 1 << 20):  # pieces smaller than a document, and one for all
+        got = tokenscan.scan_files(spark, f"{tmp_path}/flat", block_tokens=block).select(tokenscan.id_of_tokens(F.col("lead")).alias("i"), F.col("n_tokens") - tokenscan.LEAD).collect()
+        assert sorted(((r[0], r[1]) for r in got), key=repr) == sorted(((i, 40) for i in ids), key=repr)
+
+
+def test_token_scan_of_odd_files(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a").write_bytes(struct.pack("<4H", 1, 2, tokenscan.END, 3) + b"x")
+    (tmp_path / "files" / "b").write_bytes(b"x")
+    (tmp_path / "files" / "c").write_bytes(b"")
+    for block in (1, 2, 100):
+        got = sorted((r.doc_index, r.start, r.n_tokens, list(r.lead)) for r in tokenscan.scan_files(spark, f"{tmp_path}/files", lead=1, block_tokens=block).collect())
+        assert got == [(0, 0, 2, [1]), (1, 3, 1, [3])]
+
+
+def test_url_filter_grows_with_its_list(spark):
+    assert (urls.blocks_for(0), urls.blocks_for(16), urls.blocks_for(1_000_001)) == (1, 1, 62_501)
+    listed = spark.range(3000).select(F.concat(F.lit("http://a"), "id", F.lit(".net/x/")).alias("url"))
+    pages = spark.range(0, 6000, 1, 3).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.A"), "id", F.lit(".net/x?utm_source=1")).alias("url"))
+    got = {r.page_id: r.verdict for r in urls.judge(pages, listed, rules=()).collect()}
+    assert got == {i: "block" if i < 3000 else "allow" for i in range(6000)}
+    # a filter whose bits are all set passes everything on, and the exact join still decides
+    full = spark.createDataFrame([(0, -1, -1, -1, -1)], "block long, w0 long, w1 long, w2 long, w3 long")
+    real, urls.bloom = urls.bloom, lambda *a: full
+    wide, urls.PER_BLOCK = urls.PER_BLOCK, 1 << 20
+    try:
+        assert {r.page_id: r.verdict for r in urls.judge(pages, listed, rules=()).collect()} == got
+    finally:
+        urls.bloom, urls.PER_BLOCK = real, wide
+
+
+def test_toxicity_brute_force(spark):
+    """Scores recomputed from the learned weights in plain Python, and the fitted weights at a minimum of the loss."""
+    import math
+
+    import numpy as np
+
+    docs, labels = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
+    weights, intercept = toxicity.learned(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, labels, keep=["doc_id"]).collect():
+        z = intercept + sum(weights.get(f, 0.0) for f in toxicity.features_of(toxicity.words_of(texts[r.doc_id])))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and r.predicted == int(r.score >= 0.7)
+    rows = [(1, [0, 1], [[0, 2]]), (1, [0], []), (0, [2], [[0, 2]]), (0, [], []), (1, [1], []), (0, [1, 2], [])]
+    strength, penalty, l2 = [1.0, 0.5, 0.8], 0.7, 1e-2
+
+    def loss(v):
+        out = 0.0
+        for y, x, _ in rows:
+            z = sum(v[j] for j in x) + v[3]
+            out += np.logaddexp(0, -z if y else z) / len(rows)
+        swaps = [sum((1 if j in x else -1) * v[j] for j in s) for _, x, own in rows for s in own]
+        return out + penalty * sum(d * d for d in swaps) / len(swaps) + l2 * sum((v[j] / strength[j]) ** 2 for j in range(3))
+
+    w, c = toxicity.fit(rows, strength, penalty, l2, 3000)
+    best = loss([*w, c])
+    assert c == pytest.approx(math.log(3.5 / 3.5))
+    for i in range(3):
+        for step in (-0.02, 0.02):
+            v = [*w, c]
+            v[i] += step
+            assert loss(v) > best
+
+
+def test_toxicity_bounds_rows_and_takes_both_signs(spark):
+    rows = [(i, "rude awful words" if i % 2 else "kind gentle words") for i in range(200)] + [(1, "rude awful words")] * 500
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    weights, _ = toxicity.learned(docs, known)
+    assert weights["rude"] > 0 > weights["gentle"] and "words" not in weights
+
+
+def test_pipeline_stages_keep_own_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c", "s", 5, "own"), (2, "d e f g", "t", 6, "own"), (2, "d e f g", "t", 6, "own")], "doc_id long, text string, source string, size int, score string")
+    for stage in (corpus_pipeline.reject_toxic, corpus_pipeline.mix_sources):
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, SF)
+            assert out.columns == docs.columns and all(r.score == "own" and r["size"] in (5, 6) for r in out.collect())
