@@ -1,7 +1,7 @@
 """The corpus pipeline: documents in, encoded training documents out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's docs.
-All stages but the last keep the columns of documents.  Rows of the last may repeat: mixing emits documents several times.
+All stages but the last keep the columns of documents, those with the name of an operator's result too.  Rows of the last may repeat: mixing emits documents several times.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, simhash, toxicity
-from quarry.llm.common import table, written
+from quarry.llm.common import set_aside, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents scored at or above the threshold go."""
-    return toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    docs, restored = set_aside(docs, ["held_out", "score", "predicted"])
+    return restored(toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: every document as often as the mix takes it."""
+    docs, restored = set_aside(docs, ["size", "source_size", "target", "copies", "taken"])
     mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return restored(mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
