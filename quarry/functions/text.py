@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 ACRONYMS = ("ai", "api", "soap", "prro", "http", "https", "sql", "url", "ui", "sdk", "cli", "rest", "json", "xml", "css", "html", "js", "ts", "db")
 CORPORATE_SUFFIXES = ("corporation", "corp", "inc", "incorporated", "llc", "ltd", "limited", "company", "co", "gmbh", "plc")
 TIER_SUFFIXES = ("go", "pro", "lite", "plus", "enterprise", "premium", "basic", "standard", "express")
-OVERLAP_STOP_WORDS = ("a", "an", "and", "the", "of", "for", "to", "in", "on", "with", "is", "are", "by")
+EXPANSION_STOP_WORDS = ("a", "an", "the", "and", "or", "to", "for", "of", "in", "on", "with", "via", "using", "by")
 MIME_BY_SUFFIX = ((".py", "text/x-python"), (".js", "text/javascript"), (".ts", "text/typescript"), (".tsx", "text/typescript-jsx"), (".jsx", "text/javascript-jsx"), (".json", "application/json"), (".html", "text/html"), (".css", "text/css"), (".md", "text/markdown"), (".yaml", "text/yaml"), (".yml", "text/yaml"), (".xml", "text/xml"), (".sql", "text/x-sql"), (".sh", "text/x-shellscript"), (".rb", "text/x-ruby"), (".java", "text/x-java"), (".go", "text/x-go"), (".rs", "text/x-rust"), (".swift", "text/x-swift"), (".kt", "text/x-kotlin"), (".c", "text/x-c"), (".cpp", "text/x-c++"), (".h", "text/x-c-header"), (".vue", "text/x-vue"), (".svelte", "text/x-svelte"))
 #: The first 14 are those of the graph context, which looks them up by the lower-case extension.
 CONTEXT_MIME_BY_EXTENSION = tuple((suffix[1:], kind) for suffix, kind in MIME_BY_SUFFIX[:14])
@@ -48,7 +48,7 @@ def domain_key(s: Column) -> Column:
             out = F.when(F.endswith(w, F.lit(suffix)) & (F.length(w) - len(suffix) >= 4), F.substring(w, F.lit(1), F.length(w) - len(suffix))).otherwise(out)
         return out
 
-    words = F.filter(F.split(F.lower(F.regexp_replace(camel_split(s), r"[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+    words = F.regexp_extract_all(F.lower(camel_split(s)), F.lit("[a-z]+"), F.lit(0))
     return F.array_join(F.array_sort(F.transform(words, stem)), "_")
 
 
@@ -66,21 +66,39 @@ def token_set(s: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(s), r"\s+"), lambda w: w != ""))
 
 
+def has_all_terms(text: Column, query: Column) -> Column:
+    """Whether a text holds every word of a query, without stemming."""
+    words = lambda s: F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.size(F.array_except(words(query), words(text))) == 0
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
+def lexical_score(text: Column, query: Column) -> Column:
+    """jaccard(token_set(text), token_set(query)) with the words of the text taken apart once: what both share is what is left of the query's words."""
+    own, asked = token_set(text), token_set(query)
+
+    def score(w: Column) -> Column:
+        shared = F.array(F.size(F.array_intersect(asked, w)))
+        return F.element_at(F.transform(shared, lambda n: F.when(F.size(w) + F.size(asked) > n, n / (F.size(w) + F.size(asked) - n)).otherwise(F.lit(0.0))), F.lit(1))
+
+    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(own), score), F.lit(1)))
+
+
 def description_overlap(a: Column, b: Column) -> Column:
     """Shared words over the smaller word set, without stop words and single letters."""
-    own = lambda s: F.filter(token_set(F.regexp_replace(s, r"[^A-Za-z0-9\s]", " ")), lambda w: (F.length(w) > 1) & ~w.isin(*OVERLAP_STOP_WORDS))
-    x, y = own(a), own(b)
-    least = F.least(F.size(x), F.size(y))
-    return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(F.lit(0.0))
+    from .canonical import overlap
+
+    return overlap(a, b)
 
 
 def pascalize(s: Column) -> Column:
-    return F.array_join(F.transform(F.filter(F.split(F.lower(s), r"\s+"), lambda w: (w != "") & ~w.isin(*OVERLAP_STOP_WORDS)), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
+    """Words but stop words, each with a capital, without anything between them."""
+    words = F.filter(F.regexp_extract_all(s, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: ~F.lower(w).isin(*EXPANSION_STOP_WORDS))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
 
 
 def slugify(s: Column) -> Column:

@@ -42,7 +42,7 @@ def blended(rerank: Column, original: Column, over: Window) -> Column:
 def _mmr(k: int, weight: float):
     def run(pdf):
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        sets = [set(t.lower().split()) for t in pdf["text"]]
+        sets = [set((t or "").lower().split()) for t in pdf["text"]]
         picked: list[int] = [0] if len(pdf) else []
         while len(picked) < min(k, len(pdf)):
             best, best_value = -1, float("-inf")
@@ -62,5 +62,5 @@ def _mmr(k: int, weight: float):
 
 
 def mmr(results: DataFrame, k: int = 10, weight: float = 0.5) -> DataFrame:
-    """Maximal marginal relevance of each query's (short) result list: greedy, so one group a query in pandas."""
+    """Maximal marginal relevance of each query's result list, which its search bounds: greedy, so one group a query in pandas, k passes over it.  A null text is like no other."""
     return results.select("query_id", "id", "score", "text").groupBy("query_id").applyInPandas(_mmr(k, weight), "query_id long, position int, id long, score double")

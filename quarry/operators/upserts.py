@@ -47,3 +47,17 @@ def surviving(rows: DataFrame, gone: DataFrame, name: str, file: str) -> DataFra
     kept = rows.join(gone.select(file), file, "left_anti")
     names = kept.where(F.col(name).isNotNull()).select(name).distinct()
     return kept.unionByName(rows.join(gone.select(file), file, "left_semi").join(names, name, "left_semi").select(*rows.columns))
+
+
+def merge_edges(target: DataFrame, updates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (src, rel, dst) with ``what``: those of the target, and each new one once if both ends are nodes."""
+    ids = lambda end: nodes.select(F.col("id").alias(end))
+    known = updates.select("src", "rel", "dst").distinct().join(ids("src"), "src", "left_semi").join(ids("dst"), "dst", "left_semi")
+    new = known.join(target, ["src", "rel", "dst"], "left_anti")
+    return target.select("src", "rel", "dst", F.lit("kept").alias("what")).unionByName(new.select("src", "rel", "dst", F.lit("new").alias("what")))
+
+
+def moved_tenant(rows: DataFrame, key: str, old, new) -> DataFrame:
+    """rows with the tenant ``old`` rewritten to ``new``, and whether a row moved."""
+    moves = F.coalesce(F.col(key) == old, F.lit(False))
+    return rows.withColumn("moved", moves).withColumn(key, F.when(F.col("moved"), F.lit(new)).otherwise(F.col(key)))

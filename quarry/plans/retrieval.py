@@ -92,7 +92,7 @@ s AS (SELECT doc_id, round(CAST(len(list_intersect(w, (SELECT q FROM q))) AS DOU
 SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 20""")
 def _(t):
     q = F.lit(t.benchmark.where("item_id = 0").select("text").first()[0])
-    return t.documents.where("lang = 'en'").select("doc_id", F.round(tx.jaccard(tx.token_set(F.col("text")), tx.token_set(q)), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    return t.documents.where("lang = 'en'").select("doc_id", F.round(tx.lexical_score(F.col("text"), q), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @op("TOP11_name_relevance", "SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'green' THEN CAST(1.0 AS DOUBLE) WHEN contains(lower(p_name), 'green') THEN 0.8 ELSE 0.5 END AS score FROM part ORDER BY score DESC, p_partkey LIMIT 50")
@@ -232,7 +232,7 @@ SELECT id, round(sum(s), 9) AS score, CASE WHEN count(DISTINCT side) = 2 THEN 'h
 def _hybrid(t):
     a = _scored(t).orderBy(F.desc("score"), "id").limit(20).withColumn("payload", F.lit("vector"))
     q = F.lit(t.benchmark.where("item_id = 0").select("text").first()[0])
-    b = t.documents.select(F.col("doc_id").alias("id"), F.round(tx.jaccard(tx.token_set(F.col("text")), tx.token_set(q)), 6).alias("score")).orderBy(F.desc("score"), "id").limit(20).withColumn("payload", F.lit("lexical"))
+    b = t.documents.select(F.col("doc_id").alias("id"), F.round(tx.lexical_score(F.col("text"), q), 6).alias("score")).orderBy(F.desc("score"), "id").limit(20).withColumn("payload", F.lit("lexical"))
     order = [F.desc("score"), F.col("id")]
     fused = fusion.rrf(fusion.ranked(a, 0, 1.0, order).unionByName(fusion.ranked(b, 1, 0.8, order)))
     kind = F.when(F.size("sources") == 2, "hybrid").when(F.array_contains("sources", 0), "vector_only").otherwise("lexical_only")
@@ -246,7 +246,7 @@ op("FUS3_hybrid_search", _HYBRID)(_hybrid)
 @op("FUS4_mmr")
 def _(t):
     q = F.lit(t.benchmark.where("item_id = 0").select("text").first()[0])
-    top = t.documents.select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").alias("id"), "text", F.round(tx.jaccard(tx.token_set(F.col("text")), tx.token_set(q)), 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    top = t.documents.select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").alias("id"), "text", F.round(tx.lexical_score(F.col("text"), q), 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
     return fusion.mmr(top)
 
 
