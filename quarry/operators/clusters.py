@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical as cn
@@ -14,17 +14,21 @@ from ..functions import canonical as cn
 GRAMS = (1, 2, 4, 8, 16)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written in spark.checkpoint.dir (in local mode a temporary folder where unset) and read again, which cuts its lineage."""
-    spark = df.sparkSession
+def kept_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode a temporary folder where that is unset, an error on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/checkpoints/quarry"
-    path = f"{base}/quarry-{uuid.uuid4().hex}"
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints/quarry"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written in the shared folder and read again, which cuts its lineage."""
+    path = f"{kept_dir(df.sparkSession)}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def names_that_meet(names: DataFrame) -> DataFrame:
