@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking
+from ..operators import chunking, filetree
 from .base import op
 
 _CAMEL = r"regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')"
@@ -148,3 +148,32 @@ def _(t):
 @op("CHK11_explode_events", "SELECT conv_id, turn, unnest(string_split(text, ' ')) AS item FROM conversations WHERE role = 'system'")
 def _(t):
     return t.conversations.where("role = 'system'").select("conv_id", "turn", F.explode(F.split("text", " ", -1)).alias("item"))
+
+
+@op("CHK2_text_chunks")
+def _(t):
+    return chunking.chunk_texts(t.documents, "doc_id", "text")
+
+
+_NESTED_SQL = "[struct_pack(kind := 'nested_function', name := 'n' || i, start_line := i * 20, end_line := i * 20 + CAST(doc_id % 15 AS BIGINT)) FOR i IN range(1, CAST(doc_id % 4 AS BIGINT) + 1)]"
+
+
+@op("CHK8_method_chunks", f"""
+WITH m AS (SELECT 'd' || doc_id AS document_id, 'm' || doc_id AS name, 1 AS start_line, 100 AS end_line, length(coalesce(text, '')) AS size, 'd' || doc_id || ':method:m' || doc_id || ':1' AS own, {_NESTED_SQL} AS nested FROM documents),
+n AS (SELECT own, unnest(nested) AS n FROM m WHERE size >= 2000)
+SELECT own AS chunk_id, NULL AS parent_id, 'method' AS kind, name, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line FROM m
+UNION ALL SELECT own || ':nested:' || n.kind || ':' || n.name || ':' || n.start_line, own, n.kind, n.name, n.start_line, n.end_line FROM n WHERE n.end_line - n.start_line + 1 >= 10""")
+def _(t):
+    i = F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))
+    nested = F.transform(F.filter(i, lambda k: k <= F.col("doc_id") % 4), lambda k: F.struct(F.lit("nested_function").alias("kind"), F.concat(F.lit("n"), k.cast("string")).alias("name"), (k * 20).alias("start_line"), (k * 20 + F.col("doc_id") % 15).alias("end_line")))
+    s = lambda prefix: F.concat(F.lit(prefix), F.col("doc_id").cast("string"))
+    m = t.documents.select(s("d").alias("document_id"), s("m").alias("name"), F.lit(1).cast("long").alias("start_line"), F.lit(100).cast("long").alias("end_line"), F.coalesce("text", F.lit("")).alias("code"), nested.alias("nested"))
+    return chunking.method_chunks(m)
+
+
+@op("CHK10_file_tree")
+def _(t):
+    number = lambda n: (F.col("doc_id") % n).cast("string")
+    path = F.concat(F.lit("app/api/"), F.coalesce("source", F.lit("none")), F.lit("/v"), number(3), F.lit("/f"), number(40), F.lit(".py"))
+    files = t.documents.groupBy(path.alias("path")).agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("lines"))
+    return filetree.tree_lines(files).select(F.array_join("key", "/").alias("key"), "line")
