@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, table, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -65,6 +65,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     base = base.withColumn("__lane", F.conv(F.substring("__digest", 31, 2), 16, 10).cast("int") % LANES)
     key = ["__source", "__class", "__lane"]
     groups = base.groupBy(*key).agg(F.count("*").alias("__n"), F.sum("size").alias("__words"))
+    groups, _ = written(groups)  # read twice; without it each of both would count the words of every text again
     words = groups.groupBy("__source").agg(F.sum("__words").alias("words"))
     targets = source_targets(words.select(F.expr("if(__source = '', null, substring(__source, 2))").alias("source"), "words"), weights, cap)
     targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("__source"), F.col("words").alias("source_size"), "target", F.col("rate").alias("__rate"))
