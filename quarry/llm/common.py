@@ -68,12 +68,14 @@ def components(edges: DataFrame) -> DataFrame:
     state = _settled(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that both sides of the join are plain shuffles and the edges of a node with very many can be split over tasks
+        least, least_path = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e, new = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         removed(spark, path)
+        removed(spark, least_path)
         path = new
         state, before = _settled(e), state
         if state == before:
