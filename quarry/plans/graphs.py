@@ -105,7 +105,7 @@ def _(t):
     return graph.remapped(t.edges(), m)
 
 
-@op("JN26_induced_subgraph", f"WITH {GRAPH_SQL}, c AS (SELECT id FROM nodes WHERE scope = 'n4'), k AS (SELECT id FROM c UNION SELECT other FROM both_ways WHERE node IN (SELECT id FROM c)) SELECT src, rel, dst FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
+@op("JN26_induced_subgraph", f"WITH {GRAPH_SQL}, e AS MATERIALIZED (SELECT * FROM edges), c AS MATERIALIZED (SELECT DISTINCT id FROM nodes WHERE scope = 'n4'), k AS MATERIALIZED (SELECT id FROM c UNION SELECT dst FROM e JOIN c ON src = id UNION SELECT src FROM e JOIN c ON dst = id) SELECT e.src, e.rel, e.dst FROM e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst")
 def _(t):
     return graph.induced(t.nodes(), t.edges(), F.col("scope") == "n4")
 

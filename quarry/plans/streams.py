@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.clusters import kept_dir
+from ..operators.clusters import kept, kept_dir
 from ..streaming import workers
 from .base import op
 
@@ -14,9 +14,11 @@ FILES = 6
 
 
 def _stream(t, df, fmt: str = "parquet", per_trigger: int = 2, order: str = "event_id"):
-    """df as a stream of FILES files, in their order."""
+    """df as a stream of FILES files, which are written, and so read, one after the other in the given order: what comes out of it would be late."""
     path = f"{kept_dir(t.spark)}/quarry-in-{uuid.uuid4().hex}"
-    df.repartitionByRange(FILES, order).write.format(fmt).save(path)
+    cut = kept(df.repartitionByRange(FILES, order).withColumn("__file", F.spark_partition_id()))
+    for nr in range(FILES):
+        cut.where(F.col("__file") == nr).drop("__file").coalesce(1).write.mode("append").format(fmt).save(path)
     return workers.source(t.spark, fmt, {"path": path}, df.schema.simpleString()[7:-1].replace(":", " "), per_trigger)
 
 
@@ -37,7 +39,7 @@ def _(t):
 @op("STR3_once_per_event", "SELECT event_id, event_type FROM events")
 def _(t):
     e = _events(t).select("event_id", "ts", "event_type")
-    return workers.collected(workers.once_within(_stream(t, e.unionByName(e)), "event_id", "ts", "1 hour")).select("event_id", "event_type")
+    return workers.collected(workers.once_within(_stream(t, e.unionByName(e), order="ts"), "event_id", "ts", "1 hour")).select("event_id", "event_type")
 
 
 _HASHED = "SELECT user_id AS item_id, event_type AS stage, md5(CAST(event_id % 3 AS VARCHAR)) AS content_hash FROM events"
@@ -120,7 +122,7 @@ def _(t):
 @op("STR13_request_cache", "SELECT CASE WHEN event_id % 5 <> 0 THEN event_id END AS request_id, event_type FROM events UNION ALL SELECT NULL, event_type FROM events WHERE event_id % 5 = 0")
 def _(t):
     e = _events(t).select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("request_id"), "ts", "event_type")
-    return workers.collected(workers.once_within(_stream(t, e.unionByName(e)).drop("event_id"), "request_id", "ts", "3600 seconds")).select("request_id", "event_type")
+    return workers.collected(workers.once_within(_stream(t, e.unionByName(e), order="ts").drop("event_id"), "request_id", "ts", "3600 seconds")).select("request_id", "event_type")
 
 
 @op("STR15_window_flush", "SELECT time_bucket(INTERVAL '60 seconds', ts) AS start, user_id, max(struct_pack(ts := ts, value := value)).value AS value FROM events GROUP BY 1, 2")
