@@ -2,9 +2,10 @@
 
 Method: candidates are dealt by a hash of their id over shards of about SHARD_ROWS rows; each shard becomes one ball tree
 (one task, bounded memory).  Queries are packed in blocks and meet every tree, block by shard, in an equi-join on the shard
-number.  A query orders a tree's nodes by their bound q.c + |q| r on the inner product, opens the highest first and stops
-where the bound falls below its current kth score.  That kth score is shared: a first pass over one shard's tree gives each
-query its first threshold, and a task hands the thresholds on from tree to tree of the same block.
+number: blocks travel to the trees, each tree is shuffled once.  A query orders a tree's nodes by their bound q.c + |q| r on
+the inner product, opens the highest first and stops where the bound falls below its current kth score.  That kth score is
+shared: a first pass over one tree, another one for every block in turn, gives each query its first threshold, and a task
+hands the thresholds on from tree to tree of the same block.
 
 Defined results: components become floor(scale * x) in whole numbers; vectors that are null, empty or hold a null or
 non-finite component take no part; vectors meet only vectors of the same length; rows that share the query's id are its own
@@ -113,9 +114,11 @@ def _searched(k: int):
         import pandas as pd
 
         shared: dict[tuple[int, int], int] = {}  # kth scores that this task knows
+        held, tree = None, None  # rows of one tree mostly follow each other
         for pdf in batches:
-            for dim, queries, floors, tree in zip(pdf["dim"], pdf["queries"], pdf["floors"], pdf["tree"]):
-                tree = pickle.loads(tree)
+            for dim, shard, queries, floors, data in zip(pdf["dim"], pdf["shard"], pdf["queries"], pdf["floors"], pdf["tree"]):
+                if held != (dim, shard):
+                    held, tree = (dim, shard), pickle.loads(data)
                 ids, vecs = pickle.loads(queries)
                 first = dict(pickle.loads(floors)) if floors else {}
                 out = []
@@ -138,6 +141,9 @@ def _floors(k: int):
         for pdf in batches:
             out = []
             for queries, tree in zip(pdf["queries"], pdf["tree"]):
+                if tree is None:  # no vectors of this length in that shard: these queries begin without a threshold
+                    out.append(None)
+                    continue
                 tree = pickle.loads(tree)
                 got = [(i, search(tree, i, q, k, None)) for i, q in zip(*pickle.loads(queries))]
                 out.append(pickle.dumps([(i, min(s for s, _ in x)) for i, x in got if len(x) == k]))
@@ -156,12 +162,11 @@ def top_inner_products(rows: DataFrame, every: int = 100, k: int = TOP, scale: i
     trees, _ = written(made.groupBy("dim", "shard").applyInPandas(_tree, "dim int, shard int, tree binary"))
     asked = queries_of(whole, every).select("id", ints.alias("ints"), F.size("vec").alias("dim"), lane(n_blocks).alias("block"))
     blocks = asked.groupBy("dim", "block").applyInPandas(_block, "dim int, block int, queries binary")
-    # one shard of each length gives every query its first threshold
-    pilot = trees.join(trees.groupBy("dim").agg(F.min("shard").alias("shard")), ["dim", "shard"]).drop("shard")
-    begun, _ = written(blocks.join(pilot, "dim").mapInPandas(_floors(k), "dim int, block int, queries binary, floors binary"))
+    # one tree gives every query its first threshold; blocks begin at different trees, so neither is one key for all of them
+    blocks = blocks.withColumn("shard", F.pmod("block", F.lit(shards)))
+    begun, _ = written(blocks.join(trees, ["dim", "shard"], "left").mapInPandas(_floors(k), "dim int, block int, queries binary, floors binary"))
     pairs = begun.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["dim", "shard"])
-    pairs = pairs.repartition(min(shards * n_blocks, 4 * rows.sparkSession.sparkContext.defaultParallelism), "block", F.col("shard") % 16) if shards > 1 else pairs
-    found = pairs.select("dim", "queries", "floors", "tree").mapInPandas(_searched(k), "query_id long, vec_id long, score long")
+    found = pairs.select("dim", "shard", "queries", "floors", "tree").mapInPandas(_searched(k), "query_id long, vec_id long, score long")
     return best(found, k)
 
 

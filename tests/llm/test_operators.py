@@ -161,6 +161,16 @@ def test_exact_search_brute_force_over_many_shards(spark):
     assert got == sorted(want)
 
 
+def test_exact_search_where_shards_lack_a_length(spark):
+    long, short = [(i, [float(i % 7), 1.0]) for i in range(200)], [(1000, [1.0, 2.0, 3.0]), (1001, [0.5, 0.0, 0.0]), (1100, [1.0, 0.0, 0.0])]
+    got = exactsearch.top_inner_products(vectors(spark, long + short), every=100, shard_rows=9, query_rows=1).collect()
+    s = 1024 * 1024
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got if r.query_id >= 1000) == [(1000, 1001, s // 2), (1000, 1100, s), (1100, 1000, s), (1100, 1001, s // 2)]
+    for q in (0, 100):
+        want = sorted((-(q % 7 * (i % 7) + 1) * s, i) for i in range(200) if i != q)[:10]
+        assert [(-r.score, r.vec_id) for r in sorted(got) if r.query_id == q] == want
+
+
 def test_ann_recall(spark):
     import numpy as np
 
