@@ -5,8 +5,10 @@ grows with the square root of the table's rows (parts_for; at most one for every
 (bisection along the graph's spectral order, then capacity-bound moves of nodes to where most of their neighbours are).  A
 small classifier with one hidden layer learns which parts hold a vector's neighbours.  Every row of the table is indexed in
 its most probable part; a query is routed to as many of its most probable parts as reached RECALL on the sample,
-and on to further ones while these hold fewer than k other rows; the rows there are reranked by their exact inner product.  Parts are dealt over shards by a hash of the id, so a part that holds a
-third of all rows is many tasks' work; queries meet the shards in blocks, by an equi-join on (part, shard).
+and on to further ones while these hold fewer than k other rows; the rows there are reranked by their exact inner product.
+Parts are dealt over shards by a hash of the id, so a part that holds a
+third of all rows is many tasks' work; queries travel to the shards in blocks, by an equi-join on (part, shard), and each
+shard is shuffled once.
 
 Recall on the synthetic vectors, which have next to no structure, takes most parts; see the README for figures.
 
@@ -250,7 +252,6 @@ def nearest(rows: DataFrame, every: int = 20, k: int = TOP, vec_id: str = "vec_i
     blocks = asked.select("id", "vec", "dim", F.explode("parts").alias("part"), lane(n_blocks).alias("block"))
     blocks = blocks.groupBy("dim", "part", "block").applyInPandas(_packed(["dim", "part", "block"]), "dim int, part int, block int, data binary").withColumnRenamed("data", "asked")
     meet = blocks.join(sized, ["dim", "part"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(index, ["dim", "part", "shard"])
-    meet = meet.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "part", "block", "shard")
     return best(meet.select("asked", "data").mapInPandas(_reranked(k), "query_id long, vec_id long, score double"), k)
 
 
