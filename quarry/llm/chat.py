@@ -11,7 +11,9 @@ after ``<``, get one more backslash there, so no text can hold a mark and unesca
 ``%``, ``<``, ``>`` and line ends are written as %XX.
 
 Scale: prefix sums run inside blocks of BLOCK turn numbers and over the blocks' sums, and history meets windows by an
-equi-join on (conversation, token bucket), so one conversation of a third of all turns is spread over many tasks.
+equi-join on (conversation, token bucket), so one conversation of a third of all turns is spread over many tasks.  Placed
+turns are written once in the shared folder, so texts are shuffled once to be placed and once to be put in windows; of the
+search for history only turns take part that a window can begin shortly after.
 
 Defined results: null texts and roles are empty; turns are ordered by (turn, nulls first; role; text), so ties and repeated
 rows each stay; rows with a null conv_id form one conversation; an empty table gives none; other columns are ignored.
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, let, table
+from .common import WORD, let, table, written
 
 BUDGET, HISTORY, SYSTEM, OVERHEAD, BLOCK = 1024, 128, 128, 3, 256
 _OPEN, _CLOSE = "<turn:", "</turn>\n"
@@ -51,27 +53,36 @@ def windows(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     if span < 1 or history < 1:
         raise ValueError("the budget leaves no room for turns")
     t = turns.select(F.col(conv_id).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    t = t.withColumn("tokens", (F.regexp_count("text", F.lit(WORD)) + OVERHEAD).cast("long")).withColumn("large", (F.col("tokens") > span).cast("long")).withColumn("blk", F.floor(F.col("turn") / BLOCK))
-    inside = Window.partitionBy("conv", "blk").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("tokens", (F.regexp_count("text", F.lit(WORD)) + OVERHEAD).cast("long")).withColumn("large", (F.col("tokens") > span).cast("long"))
+    # keys without nulls: windows and joins on them share one exchange
+    key = ["unnamed", "name", "blk"]
+    t = t.withColumns({"unnamed": F.col("conv").isNull(), "name": F.coalesce(F.col("conv").cast("string"), F.lit("")), "blk": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))), "one": F.lit(1)})
+    ordered = Window.partitionBy(*key).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    inside = ordered.rowsBetween(Window.unboundedPreceding, -1)
     prefix = lambda what, w: F.coalesce(F.sum(what).over(w), F.lit(0)).cast("long")
-    t = t.withColumn("one", F.lit(1)).withColumns({"start": prefix("tokens", inside), "large_before": prefix("large", inside), "pos": prefix("one", inside)})
-    along = Window.partitionBy("conv").orderBy(F.col("blk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = t.groupBy("conv", "blk").agg(F.sum("tokens").alias("b_tokens"), F.sum("large").alias("b_large"), F.sum("one").alias("b_one"))
-    blocks = blocks.select(F.col("conv").alias("b_conv"), F.col("blk").alias("b_blk"), prefix("b_tokens", along).alias("b_start"), prefix("b_large", along).alias("b_large"), prefix("b_one", along).alias("b_pos"))
-    t = t.join(blocks, F.col("conv").eqNullSafe(F.col("b_conv")) & F.col("blk").eqNullSafe(F.col("b_blk")))
+    along = Window.partitionBy("unnamed", "name").orderBy("blk")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = t.groupBy(*key).agg(F.sum("tokens").alias("b_tokens"), F.sum("large").alias("b_large"), F.sum("one").alias("b_one"))
+    blocks = blocks.select(*key, "b_tokens", prefix("b_tokens", earlier).alias("b_start"), prefix("b_large", earlier).alias("b_large"), prefix("b_one", earlier).alias("b_pos"), F.lead("blk").over(along).isNotNull().alias("b_more"))
+    # a turn within `history` tokens is at most so many turns on
+    soon = F.max("large").over(ordered.rowsBetween(1, max(1, history // OVERHEAD)))
+    t = t.withColumns({"start": prefix("tokens", inside), "large_before": prefix("large", inside), "pos": prefix("one", inside), "soon": F.coalesce(soon, F.lit(0)) > 0})
+    t = t.join(blocks, key)
     start, pos = F.col("start") + F.col("b_start"), F.col("pos") + F.col("b_pos")
+    # windows begin where a span does, at a large turn and after one
+    ahead = (F.floor(start / span) < F.floor((start + history) / span)) | F.col("soon") | (F.col("b_more") & (F.col("b_tokens") - F.col("start") <= history))
     head = F.concat(F.lit(_OPEN), _role(F.col("role")), F.lit(">\n"))
     body = escaped(F.col("text"))
-    t = t.select(
-        "conv", start.alias("start"), pos.alias("pos"), F.length(head).alias("head"), F.length(body).alias("body"), F.concat(head, body, F.lit(_CLOSE)).alias("line"),
+    t, _ = written(t.select(
+        "conv", ((F.col("tokens") <= history) & ahead).alias("ahead"), start.alias("start"), pos.alias("pos"), F.length(head).alias("head"), F.length(body).alias("body"), F.concat(head, body, F.lit(_CLOSE)).alias("line"),
         (F.col("role") == "assistant").alias("assistant"), ((pos == 0) & (F.col("role") == "system")).alias("system"),
         (F.floor(start / span) + 2 * (F.col("large_before") + F.col("b_large")) + F.col("large")).cast("long").alias("window"),
-    )
+    ))
     w = t.groupBy("conv", "window").agg(F.min("start").alias("first"), F.min("pos").alias("first_pos")).where("first_pos > 0").select(F.col("conv").alias("w_conv"), F.col("window").alias("w"), "first")
     fields = ["pos", "head", "body", "line"]
     own = t.select("conv", "window", F.lit(True).alias("own"), F.col("assistant").alias("loss"), *fields)
     looks = w.withColumn("bucket", F.explode(F.array(F.floor(F.col("first") / history), F.floor(F.col("first") / history) - 1)))
-    before = t.where(~F.col("system")).withColumn("at", F.floor(F.col("start") / history))
+    before = t.where(~F.col("system") & F.col("ahead")).withColumn("at", F.floor(F.col("start") / history))
     before = before.join(looks, F.col("conv").eqNullSafe(F.col("w_conv")) & (F.col("at") == F.col("bucket")) & (F.col("start") < F.col("first")) & (F.col("start") >= F.col("first") - history))
     again = t.where("system").join(w, F.col("conv").eqNullSafe(F.col("w_conv")))
     repeated = [x.select("conv", F.col("w").alias("window"), F.lit(False).alias("own"), F.lit(False).alias("loss"), *fields) for x in (before, again)]

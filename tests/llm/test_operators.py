@@ -200,6 +200,32 @@ def test_chat_windows(spark):
     assert chat.windows(made.limit(0).select("conv_id", F.lit(1).alias("turn"), F.lit("").alias("role"), "text")).collect() == []
 
 
+@pytest.mark.parametrize("budget, history, system", [(200, 40, 20), (120, 60, 20)])
+def test_chat_brute_force_over_many_blocks(spark, budget, history, system):
+    import random
+
+    rng, span = random.Random(3), (budget - history - system) // 2
+    rows = [(c, t, "system" if t == 0 and c else rng.choice(["user", "assistant"]), " ".join(f"{c}.{t}" for _ in range(rng.choice([0, 1, 4, 9, 30, 2 * span])))) for c, n in ((1, 1500), (2, 257), (None, 600), (3, 1)) for t in range(n)]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=budget, history=history, system=system)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.conv_id, []).append((r.window, r.n_repeated, r.n_new, r.text))
+    for c in (1, 2, None, 3):
+        turns, windows, start, large = [], {}, 0, 0
+        for pos, (_, _, role, text) in enumerate(x for x in rows if x[0] == c):
+            tokens = len(text.split()) + chat.OVERHEAD
+            big = int(tokens > span)
+            windows.setdefault(start // span + 2 * large + big, []).append(pos)
+            turns.append((start, role, f"<turn:{role}>\n{text}</turn>\n"))
+            start, large = start + tokens, large + big
+        want = []
+        for w, own in windows.items():
+            first = turns[own[0]][0]
+            again = [i for i in range(own[0]) if (i == 0 and turns[0][1] == "system") or first - history <= turns[i][0] < first]
+            want.append((w, len(again), len(own), "".join(turns[i][2] for i in again + own)))
+        assert sorted(got[c]) == sorted(want)
+
+
 def test_warc_revisits(spark):
     rows = [
         (1, "response", "http://a.org/x", 10, '"e1"', None, {"ETag": '"e1"', "Date": "d1", "Server": "s"}, "D1"),
