@@ -30,6 +30,8 @@ from .common import let, removed, table, written
 
 HOT_WORDS = 1 << 20
 HOT_BYTES = 64
+#: Bytes above which a word is folded in parts.
+LONG = 256
 #: Rows an Arrow batch holds (the JVM keeps batches outside its heap), rows or bytes a Python worker looks up, and rows it assembles at a time.
 ARROW_ROWS, LOOK_UP, LOOK_UP_BYTES, ASSEMBLE = 250, 4000, 1 << 25, 250
 _NEVER = 1 << 30
@@ -124,11 +126,13 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def merged(word: Column, ranks: Column, whole: dict[str, int]) -> Column:
+def merged(word: Column, ranks: Column, whole: dict[str, int], long: int = LONG) -> Column:
     """The ids of one word: the fold of ranked merges over its bytes, but for words in ``whole``.
 
     The folded array holds one long a piece: its id below, above it the id of its union with the next piece (_NEVER: none).
     The step's position comes from the minimum itself, as array_position leaves its loop by an exception, which is slow.
+    A word of more than ``long`` bytes is folded in parts of about the square root of its length, each with its least union,
+    so that a step looks at the parts' least unions and changes one part: time grows with the power 1.5 of the length.
     """
     above = lambda x: F.shiftright(x, 32)
     below = lambda x: x.bitwiseAND(F.lit(_LOW))
@@ -139,25 +143,49 @@ def merged(word: Column, ranks: Column, whole: dict[str, int]) -> Column:
             union = F.when(F.get(owner, slot) == a, F.get(unions, slot))
             return F.shiftleft(F.coalesce(union, F.lit(_NEVER)).cast("long"), 32) + a
 
+        def joined(acc: Column, at: Column, new: Column) -> Column:
+            mine = packed(new, below(F.get(acc, at + 2)))
+            return F.concat(
+                F.slice(acc, 1, F.greatest(at - 1, F.lit(0))),
+                F.when(at > 0, F.array(packed(below(F.get(acc, at - 1)), new), mine)).otherwise(F.array(mine)),
+                F.slice(acc, at + 3, F.size(acc)),
+            )
+
+        # the least union, and below it its place
+        least = lambda acc: F.array_min(F.transform(acc, lambda x, i: x.bitwiseAND(F.lit(~_LOW)) + i))
+
         def step(acc: Column, _: Column) -> Column:
-            def joined(low: Column) -> Column:
-                at, new = below(low).cast("int"), above(low)
-                mine = packed(new, below(F.get(acc, at + 2)))
-                return F.concat(
-                    F.slice(acc, 1, F.greatest(at - 1, F.lit(0))),
-                    F.when(at > 0, F.array(packed(below(F.get(acc, at - 1)), new), mine)).otherwise(F.array(mine)),
-                    F.slice(acc, at + 3, F.size(acc)),
-                )
-
-            # the least union, and below it its place
-            low = F.array_min(F.transform(acc, lambda x, i: x.bitwiseAND(F.lit(~_LOW)) + i))
-            return let(low, lambda low: F.when(above(low) == _NEVER, acc).otherwise(joined(low)))
+            return let(least(acc), lambda low: F.when(above(low) == _NEVER, acc).otherwise(joined(acc, below(low).cast("int"), above(low))))
+
+        part_of = lambda p: F.struct(least(p).alias("low"), p.alias("p"))
+        cut = lambda p, width: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / width).cast("int")), lambda k: part_of(F.slice(p, k * width + 1, width)))
+
+        def step_in_parts(acc: Column, width: Column) -> Column:
+            def at_part(low: Column) -> Column:
+                nr, new = below(low).cast("int"), above(low)
+                p, at = F.get(acc, nr)["p"], below(F.get(acc, nr)["low"]).cast("int")
+                # at an edge the merge takes in a piece of a neighbour, so the parts around are laid together and cut again
+                first = F.greatest(nr - 1, F.lit(0))
+                around = F.flatten(F.transform(F.slice(acc, first + 1, 4), lambda x: x["p"]))
+                shift = F.when(nr > 0, F.size(F.get(acc, first)["p"])).otherwise(0)
+                inner = F.concat(F.slice(acc, 1, nr), F.array(part_of(joined(p, at, new))), F.slice(acc, nr + 2, F.size(acc)))
+                outer = F.concat(F.slice(acc, 1, first), let(around, lambda q: let(joined(q, at + shift, new), lambda q: cut(q, width))), F.slice(acc, first + 5, F.size(acc)))
+                return F.when((at > 0) & (at + 2 < F.size(p)), inner).otherwise(outer)
+
+            low = F.array_min(F.transform(acc, lambda x, i: x["low"].bitwiseAND(F.lit(~_LOW)) + i))
+            return let(low, lambda low: F.when(above(low) == _NEVER, acc).otherwise(at_part(low)))
+
+        def in_parts(p: Column) -> Column:
+            done = lambda width: F.aggregate(F.slice(p, 2, F.size(p)), cut(p, width), lambda acc, _: step_in_parts(acc, width), lambda acc: F.flatten(F.transform(acc, lambda x: x["p"])))
+            return let(F.sqrt(F.size(p)).cast("int"), done)
 
         def split(b: Column) -> Column:
             # each byte as the character of the same number
             ids = F.transform(F.split(F.decode(b, "ISO-8859-1"), ""), lambda c: F.get(byte, F.ascii(c)))
             start = lambda p: F.transform(p, lambda x, i: packed(x, F.get(p, i + 1)))
-            return let(ids, lambda p: F.aggregate(F.slice(p, 2, F.size(p)), start(p), step, lambda acc: F.transform(acc, lambda x: below(x).cast("int"))))
+            whole_array = lambda p: F.aggregate(F.slice(p, 2, F.size(p)), p, step)
+            merges = let(ids, lambda ids: let(start(ids), lambda p: F.when(F.size(p) > long, in_parts(p)).otherwise(whole_array(p))))
+            return F.transform(merges, lambda x: below(x).cast("int"))
 
         b = F.encode(word, "UTF-8")
         if not whole:

@@ -49,6 +49,35 @@ def test_bpe_against_the_library(spark, odd, hot):
     assert bpe.encode_decode(odd.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("long", [4, 1 << 30])
+def test_bpe_fold_in_parts(spark, long):
+    import random
+
+    import public_tokenizers as P
+
+    rng, path = random.Random(5), P.path("byte_bpe_multi_50k.tiktoken")
+    ranks, words = bpe.read_ranks(path), ["a" * n for n in range(1, 40)] + ["=" * 300]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 150))) for letters in ("ab", "etaoin", "theinganro ", "é日a1-=") for _ in range(25)]
+    literal, whole = bpe.rank_map(spark, path)
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", literal.alias("r")).select("w", bpe.merged(F.col("w"), F.col("r"), whole, long).alias("ids")).collect()
+    for r in rows:
+        w = r.w.encode()
+        assert list(r.ids) == ([ranks[w]] if w.hex().upper() in whole else [ranks[x] for x in bpe._folded(w, ranks)])
+
+
+def test_bpe_of_a_very_long_word(spark):
+    import random
+
+    import public_tokenizers as P
+    import tiktoken
+
+    rng = random.Random(6)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(40_000)), "z" * 20_000]
+    got = bpe.encode_decode(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert all(list(r.ids) == own.encode_ordinary(r.text) and bytes(r.decoded) == r.text.encode() for r in got) and len(got) == 2
+
+
 def fingerprint(text):
     import xxhash
 
