@@ -1,9 +1,14 @@
 """The pipeline's stages against what their operators say by brute force."""
 
+import hashlib
+import struct
 from collections import Counter
 
+import public_tokenizers
+import tiktoken
+
 import corpus_pipeline
-from quarry.llm import mixing, toxicity
+from quarry.llm import bpe, mixing, toxicity
 from quarry.llm.common import table
 
 from .test_operators import SF, brute_components
@@ -20,8 +25,13 @@ def test_stages(spark):
     mixed = corpus_pipeline.mix_sources(spark, single, SF).cache()
     want = {r.doc_id: r.copies for r in mixing.mix(single).collect() if r.copies}
     assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == want
-    out = corpus_pipeline.run(spark, SF)
-    assert Counter(r.doc_id for r in out.collect()) == want
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r.doc_id for r in out) == want
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in single.collect()}
+    for r in out:
+        ids = own.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
 
 def test_repeated_documents_leave_one(spark):
