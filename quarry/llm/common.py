@@ -33,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints/quarry"
 
 
+def known_to_arrow(path: str) -> bool:
+    """Whether tasks can open this path through Arrow's file systems."""
+    from pyarrow import ArrowInvalid, ArrowNotImplementedError, fs
+
+    try:
+        fs.FileSystem.from_uri(path)
+    except (ArrowInvalid, ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
 def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with its own columns of these names under other names, and what selects docs' columns again, named as before."""
     kept = {c: f"__own_{c}" if c in names else c for c in docs.columns}

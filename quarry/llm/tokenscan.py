@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_dir, table
+from .common import WORD, known_to_arrow, shared_dir, table
 
 #: The end-of-document id: the bytes "}}".  Token ids lie below IDS, so they never equal it.
 END = 0x7D7D
@@ -127,20 +127,10 @@ def scan(files: DataFrame, end: int = END, lead: int = LEAD, block_tokens: int =
     return stitched(files.select("path", "content").mapInArrow(_cut(end, lead, 2 * block_tokens), _FOUND), lead)
 
 
-def _known_to_arrow(path: str) -> bool:
-    from pyarrow import fs
-
-    try:
-        fs.FileSystem.from_uri(path)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
-        return False
-    return True
-
-
 def scan_files(spark: SparkSession, path: str, end: int = END, lead: int = LEAD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """scan() over the files in a folder, a task's work being pieces, not files."""
     files = spark.read.format("binaryFile").load(path)
-    if not _known_to_arrow(path):
+    if not known_to_arrow(path):
         return scan(files, end, lead, block_tokens)
     step = 2 * block_tokens
     # only paths and lengths are read here

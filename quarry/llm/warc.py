@@ -23,18 +23,21 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import known_to_arrow, table
 from .urls import _PARTS_SQL, canonical
 
 #: Header fields that a 304 answer may update, lower case.
 UPDATES = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 BLOCK = 100_000
+#: Bytes of records that a reading task hands on at a time.
+BATCH_BYTES = 1 << 24
 
 
-def parse_records(data: bytes) -> list[dict]:
-    """The records of one WARC file, plain or gzipped: version line, headers by lower-case name, and body."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    out = []
+def records(stream) -> Iterator[dict]:
+    """The records of one WARC file, plain or gzipped, one after the other: headers by lower-case name, and body."""
+    stream = io.BufferedReader(stream)
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -43,21 +46,46 @@ def parse_records(data: bytes) -> list[dict]:
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
         size = headers.get("content-length", "0")
-        out.append({"headers": headers, "body": stream.read(int(size) if size.isdigit() else 0)})
-    return out
+        yield {"headers": headers, "body": stream.read(int(size) if size.isdigit() else 0)}
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, nr, headers, body) of the records of the WARC files under path; Spark reads the files."""
+def _framed(files: Iterator[tuple], batch_bytes: int) -> Iterator:
+    """Rows of (path, stream) in frames of some batch_bytes each."""
+    import pandas as pd
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    rows, held = [], 0
+    for path, stream in files:
+        with stream:
+            for nr, r in enumerate(records(stream)):
+                rows.append((path, nr, r["headers"], r["body"]))
+                held += len(r["body"]) + sum(len(k) + len(v) for k, v in r["headers"].items())
+                if held >= batch_bytes:
+                    yield pd.DataFrame(rows, columns=["file", "nr", "headers", "body"])
+                    rows, held = [], 0
+    yield pd.DataFrame(rows, columns=["file", "nr", "headers", "body"])
+
+
+def read_warc(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(file, nr, headers, body) of the records of the WARC files under path.
+
+    A file is one task's work, as members of a gzipped one have no index, but is read through Arrow's file systems record by
+    record, so a task holds some batch_bytes and one record.  Where Arrow does not know the scheme, Spark reads whole files
+    (each below 2 GB).  A damaged gzip file raises.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+    def opened(batches: Iterator) -> Iterator:
+        from pyarrow import fs
 
         for pdf in batches:
-            rows = [(f, i, r["headers"], r["body"]) for f, data in zip(pdf["path"], pdf["content"]) for i, r in enumerate(parse_records(data))]
-            yield pd.DataFrame(rows, columns=["file", "nr", "headers", "body"])
+            for name in pdf["path"]:
+                store, at = fs.FileSystem.from_uri(name)
+                yield name, store.open_input_stream(at, compression=None)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(run, "file string, nr int, headers map<string,string>, body binary")
+    held = lambda batches: ((name, io.BytesIO(data)) for pdf in batches for name, data in zip(pdf["path"], pdf["content"]))
+    known = known_to_arrow(path)
+    source = opened if known else held
+    return files.select("path", *([] if known else ["content"])).mapInPandas(lambda batches: _framed(source(batches), batch_bytes), "file string, nr int, headers map<string,string>, body binary")
 
 
 def _weak(tag: Column) -> Column:
@@ -71,7 +99,10 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     entries = F.coalesce(F.map_entries("headers"), F.array().cast("array<struct<key:string,value:string>>"))
     r = records.select("record_id", "kind", canonical(F.col("url")).alias("canon"), F.col("ts").cast("long").alias("ts"), "etag", "last_modified", entries.alias("own"), "digest")
-    r = r.withColumn("blk", F.floor(F.col("ts") / block)).withColumn("full", F.when((F.col("kind") == "response") & (F.col("canon") != "") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest", "own")))
+    able = (F.col("canon") != "") & F.col("ts").isNotNull()
+    # without a URL or a time there is nothing to find, and all such records would share one window
+    lost = r.where((F.col("kind") == "revisit") & ~able)
+    r = r.where(able).withColumn("blk", F.floor(F.col("ts") / block)).withColumn("full", F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "digest", "own")))
     inside = Window.partitionBy("canon", "blk").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("near", F.max("full").over(inside))
     latest = r.where("full is not null").groupBy("canon", "blk").agg(F.max("full").alias("latest"))
@@ -79,7 +110,7 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = r.select("canon", "blk").distinct().join(latest, ["canon", "blk"], "left")
     earlier = Window.partitionBy("canon").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("far", F.max("latest").over(earlier)).where("far is not null").drop("latest")
-    v = r.where(F.col("kind") == "revisit").join(blocks, ["canon", "blk"], "left").withColumn("base", F.when((F.col("canon") != "") & F.col("ts").isNotNull(), F.coalesce("near", "far")))
+    v = r.where(F.col("kind") == "revisit").join(blocks, ["canon", "blk"], "left").withColumn("base", F.coalesce("near", "far"))
     tags = F.col("etag").isNotNull() & F.col("base.etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("base.last_modified").isNotNull()
     held = F.when(tags, _weak(F.col("etag")) == _weak(F.col("base.etag"))).when(dates, F.col("last_modified") == F.col("base.last_modified"))
@@ -87,7 +118,9 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     may = lambda e: F.lower(e["key"]).isin(*UPDATES)
     stays = F.filter("base.own", lambda e: ~F.exists("own", lambda o: (F.lower(o["key"]) == F.lower(e["key"])) & may(o)))
     merged = F.when(F.col("status") == "resolved", F.concat(stays, F.filter("own", may))).otherwise(F.col("own"))
-    return v.withColumn("status", status).select("record_id", "canon", F.col("base.record_id").alias("refers_to"), "status", F.when(F.col("status") == "resolved", F.col("base.digest")).alias("digest"), merged.alias("headers"))
+    found = v.withColumn("status", status).select("record_id", "canon", F.col("base.record_id").alias("refers_to"), "status", F.when(F.col("status") == "resolved", F.col("base.digest")).alias("digest"), merged.alias("headers"))
+    none = lambda c: F.lit(None).cast(found.schema[c].dataType).alias(c)
+    return found.unionByName(lost.select("record_id", "canon", none("refers_to"), F.lit("missing").alias("status"), none("digest"), F.col("own").alias("headers")))
 
 
 def captures(pages: DataFrame) -> DataFrame:

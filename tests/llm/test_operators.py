@@ -128,8 +128,10 @@ def test_ball_sizes():
 
 def test_mixing(spark, odd):
     docs = common.table(spark, SF, "documents")
-    got = mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken").collect()
-    assert got == mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken").collect() or sorted(got) == sorted(mixing.mix(docs.repartition(7)).select("doc_id", "source", "size", "source_size", "target", "copies", "taken").collect())
+    cols = ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
+    got = mixing.mix(docs).select(*cols).collect()
+    for again in (docs, docs.repartition(7)):
+        assert sorted(got) == sorted(mixing.mix(again).select(*cols).collect())
     assert all(0 <= r.copies <= 3 and r.taken == r.copies * r.size for r in got)
     targets = {r.source: (r.source_size, r.target) for r in got}
     assert sum(t for _, t in targets.values()) == pytest.approx(sum(s for s, _ in targets.values()))
@@ -215,6 +217,23 @@ def test_ann_recall(spark):
     assert annsearch.nearest(vectors(spark, rows).limit(0)).collect() == []
 
 
+def test_ann_of_one_part_is_exact(spark):
+    """Ranks, scores and ties, with repeated rows, another length and fewer candidates than asked for."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((60, 4)), 1).astype(np.float32)
+    x[10:25] = x[10]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(33, x[33].tolist()), (40, x[40].tolist()), (100, [1.0, 2.0]), (101, [3.0, 1.0])]
+    got = sorted(map(tuple, annsearch.nearest(vectors(spark, rows), shard_rows=7, query_rows=1).collect()))
+    want = []
+    for q in (0, 20, 40, 100):
+        own = next(v for i, v in rows if i == q)
+        scores = [(sum(float(a) * float(b) for a, b in zip(v, own)), i) for i, v in rows if i != q and len(v) == len(own)]
+        want += [(q, r, i, s) for r, (s, i) in enumerate(sorted(scores, key=lambda t: (-t[0], t[1]))[:20], 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-12)
+
+
 def test_chat_windows(spark):
     text = "word " * 150
     rows = [(1, 0, "system", "be <turn: good"), *[(1, i, ("user", "assistant")[i % 2], text + str(i)) for i in range(1, 12)], (None, None, None, None), (2, 1, "assistant", "long " * 2000), (2, 2, "assistant", "<\\\\/turn></turn>\n\\"), (2, 2, "assistant", "a")]
@@ -271,12 +290,28 @@ def test_warc_revisits(spark):
     assert sorted((e.key, e.value) for e in r[3].headers) == [("ETag", '"e1"'), ("Server", "s"), ("date", "new")]
 
 
-def test_warc_records():
+def test_warc_resolve_clashes_and_empty(spark):
+    kind = "record_id long, kind string, url string, ts long, etag string, last_modified string, headers map<string,string>, digest string"
+    rows = [(1, "response", "http://a.org/x", 1, "e", None, {}, "D")] + [(2, "revisit", "http://a.org/x", 5, "e", None, None, None)] * 2 + [(3, "revisit", "", 5, "e", None, {"a": "b"}, None), (4, "revisit", "http://a.org/x", None, "e", None, {}, None), (5, None, "http://a.org/x", 9, "e", None, {}, None)]
+    df = spark.createDataFrame(rows, kind).select("*", *[F.lit("own").alias(c) for c in ("canon", "status", "blk", "full", "near", "base")])
+    got = sorted((r.record_id, r.refers_to, r.status, r.digest) for r in warc.resolve(df).collect() if r.record_id == 2)
+    assert got == [(2, 1, "resolved", "D")] * 2
+    assert {r.record_id: (r.status, r.refers_to, [tuple(h) for h in r.headers]) for r in warc.resolve(df).collect() if r.record_id > 2} == {3: ("missing", None, [("a", "b")]), 4: ("missing", None, [])}
+    assert warc.resolve(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("batch_bytes", [1, 50, 1 << 24])
+def test_warc_files(spark, tmp_path, batch_bytes):
     import gzip
 
-    raw = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nWARC-Type: revisit\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
-    for data in (raw, gzip.compress(raw[:70]) + gzip.compress(raw[70:])):
-        assert [(r["headers"]["warc-type"], r["body"]) for r in warc.parse_records(data)] == [("response", b"abc"), ("revisit", b"")]
+    record = lambda i: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a.org/{i}\r\nContent-Length: {i}\r\n\r\n".encode() + b"x" * i + b"\r\n\r\n"
+    (tmp_path / "w" / "deep").mkdir(parents=True)
+    (tmp_path / "w" / "a.warc").write_bytes(b"".join(map(record, range(5))))
+    (tmp_path / "w" / "deep" / "b.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(40)))
+    (tmp_path / "w" / "empty.warc").write_bytes(b"")
+    for path in (f"{tmp_path}/w", f"file://{tmp_path}/w"):
+        got = sorted((r.file.rsplit("/", 1)[-1], r.nr, r.headers["warc-target-uri"], bytes(r.body)) for r in warc.read_warc(spark, path, batch_bytes).collect())
+        assert got == [(f, i, f"http://a.org/{i}", b"x" * i) for f, n in (("a.warc", 5), ("b.warc.gz", 40)) for i in range(n)]
 
 
 def test_urls(spark):
