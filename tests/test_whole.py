@@ -4,10 +4,8 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quarry import catalog
 from quarry.functions import text
-from quarry.llm import annsearch
 from quarry.operators import graph, vectors
 
 PATHS = ["a/b.RS", "x.cpp", "y.cs", "z.php", "k.kt", "p.tsx", "h.h", "q.m", "s.ps1", "n.md", "https://a.org/m.py", "https://host.com", ".py", "a.py/", "noext", "u.HTML", "w.js", "v.yml", "d.c/e", "f.go\n", ""]
@@ -78,18 +76,3 @@ def test_batch_search_answers_every_query(spark):
     for sizes in ({}, {"shard_rows": 16, "query_rows": 300}):
         got = {(r.query_id, r.rank): (r.id, r.score) for r in vectors.top_k_each(a, b, 3, **sizes).collect()}
         assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-5 for x in want)
-
-
-def test_deduplication_is_by_row(spark):
-    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey", "lorem ipsum dolor sit amet elit"]
-    rows = [(1, texts[0], "a"), (1, texts[1], "b"), (1, texts[1], "a"), (None, texts[0], "a"), (None, texts[2], "b"), (None, texts[2], "a"), (4, texts[1].upper(), "a"), (9, texts[3], "a"), (9, texts[3], "a"), (2, None, "b"), (None, "", "a")]
-    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
-    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, texts[0], "a"), (1, texts[1], "a"), (None, texts[2], "a"), (9, texts[3], "a"), (2, None, "b")], key=repr)
-
-
-def test_every_query_gets_k_neighbours(spark):
-    rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 8)))] + [(0, [1.0] * 8), (605, [1.0] * 3), (610, [2.0] * 3)]
-    # one part is probed, and 16 parts of 600 rows hold fewer than 50 each
-    got = annsearch.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=5, k=50, recall=0.01).groupBy("query_id").count().collect()
-    assert {r.query_id: r["count"] for r in got} == {i: 50 for i in range(0, 600, 5)} | {605: 1, 610: 1}
