@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,6 +152,16 @@ def sanitized(s: Column) -> Column:
     return F.regexp_replace(s, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
 
 
+def stored_text(s: Column) -> Column:
+    """sanitized, then in normal form C, for which there is no built-in function; Spark's strings hold no lone surrogates."""
+
+    @F.pandas_udf("string")
+    def composed(v: pd.Series) -> pd.Series:
+        return v.str.normalize("NFC")
+
+    return composed(sanitized(s))
+
+
 def triplet_text(src: Column, rel: Column, dst: Column) -> Column:
     return F.concat_ws("-›", src, rel, dst)
 

@@ -108,6 +108,19 @@ def greedy_lines(text: str, limit: int) -> list[str]:
     return ["\n".join(x) for x in out if x]
 
 
+def chunk_lines(docs: DataFrame, doc_id: str, text: str, limit: int = 1000) -> DataFrame:
+    """(doc_id, nr, chunk): greedy_lines of every text, a null one as empty; sequential within a text, so batch by batch in pandas."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(d, i, c) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, c in enumerate(greedy_lines(t or "", limit))]
+            yield pd.DataFrame(rows, columns=["doc_id", "nr", "chunk"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, nr int, chunk string")
+
+
 def python_skeleton(source: str) -> list[str]:
     """Declarations of Python code: classes, functions and their arguments; none where it can't be parsed."""
     import ast

@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 from ..functions import ids
 from ..functions import metadata as md
 from ..functions import text as tx
-from ..operators import upserts
+from ..operators import extraction, upserts
 from .base import GRAPH_SQL, op
 
 
@@ -326,3 +326,24 @@ def _(t):
     out = out.unionByName(row(t.lineitem.join(F.broadcast(a.select(F.col("s_suppkey").alias("l_suppkey"))), "l_suppkey").select("l_partkey").distinct(), "skill", _s("p", "l_partkey")))
     out = out.unionByName(row(t.supplier.where("s_suppkey <> 7").join(F.broadcast(a.select("s_nationkey")), "s_nationkey"), "peer", F.col("s_name")))
     return out.unionByName(row(t.nation.join(F.broadcast(a.select(F.col("s_nationkey").alias("n_nationkey"))), "n_nationkey"), "instructions", F.col("n_name")))
+
+
+# --- results of a model: one an order, its lines as nodes that point at the next line but some ---
+
+_ENTITY_ID = _uuid5("replace(replace(lower({0} || '|' || chunk || '_knowledge'), ' ', '_'), chr(39), '')")
+
+
+@op("GRB6_extraction_payloads", f"""
+WITH n AS (SELECT CAST(l_orderkey AS VARCHAR) AS chunk, l_linenumber AS id, 'Part ' || l_partkey AS name, l_returnflag AS type, CASE WHEN l_suppkey % 3 = 0 THEN ' ' ELSE l_linestatus END AS description, l_linenumber % 5 + 1 AS target FROM lineitem),
+m AS (SELECT chunk, id, max(name) AS name FROM n GROUP BY 1, 2),
+e AS (SELECT DISTINCT n.chunk, a.name AS source, b.name AS target, n.type FROM n JOIN m a ON a.chunk = n.chunk AND a.id = n.id JOIN m b ON b.chunk = n.chunk AND b.id = n.target WHERE a.name <> b.name)
+SELECT 'entity' AS kind, chunk AS chunk_id, {_ENTITY_ID.replace("{0}", "name")} AS id, NULL AS other, type, CASE WHEN trim(description) = '' THEN name ELSE description END AS said FROM n
+UNION ALL SELECT 'edge', chunk, {_ENTITY_ID.replace("{0}", "source")}, {_ENTITY_ID.replace("{0}", "target")}, type, source || '>' || target FROM e""")
+def _(t):
+    line = F.struct(F.col("l_linenumber").alias("id"), _s("Part ", "l_partkey").alias("name"), F.col("l_returnflag").alias("type"), F.when(F.col("l_suppkey") % 3 == 0, " ").otherwise(F.col("l_linestatus")).alias("description"))
+    link = F.struct(F.col("l_linenumber").alias("source"), (F.col("l_linenumber") % 5 + 1).alias("target"), F.col("l_returnflag").alias("type"))
+    chunk = F.col("l_orderkey").cast("string")
+    results = t.lineitem.groupBy(chunk.alias("chunk_id"), F.concat(chunk, F.lit("_knowledge")).alias("node_set")).agg(F.sort_array(F.collect_list(line)).alias("nodes"), F.collect_list(link).alias("edges"))
+    entities, edges = extraction.payloads(results)
+    entities = entities.select(F.lit("entity").alias("kind"), "chunk_id", F.col("entity_id").alias("id"), F.lit(None).cast("string").alias("other"), F.col("entity_type").alias("type"), F.col("description").alias("said"))
+    return entities.unionByName(edges.select(F.lit("edge").alias("kind"), "chunk_id", F.col("source_id").alias("id"), F.col("target_id").alias("other"), F.col("relationship_type").alias("type"), F.concat("source_name", F.lit(">"), "target_name").alias("said")))

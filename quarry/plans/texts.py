@@ -86,6 +86,11 @@ def _(t):
     return t.documents.select("doc_id", tx.sanitized(F.col("text")).alias("text"))
 
 
+@op("TXT24_stored_text", r"SELECT doc_id, nfc_normalize(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) AS text FROM documents")
+def _(t):
+    return t.documents.select("doc_id", tx.stored_text(F.col("text")).alias("text"))
+
+
 @op("TXT27_chunk_header", "SELECT doc_id, 'PROJECT: ' || source || chr(10) || chr(10) || 'FILE: ' || doc_id || chr(10) || chr(10) || 'CODE (1/1)' AS header FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.concat_ws("\n\n", F.concat(F.lit("PROJECT: "), F.col("source")), F.concat(F.lit("FILE: "), F.col("doc_id").cast("string")), F.lit("CODE (1/1)")).alias("header"))
@@ -155,6 +160,11 @@ def _(t):
     return chunking.chunk_texts(t.documents, "doc_id", "text")
 
 
+@op("CHK6_line_chunks")
+def _(t):
+    return chunking.chunk_lines(t.documents, "doc_id", "text")
+
+
 _NESTED_SQL = "[struct_pack(kind := 'nested_function', name := 'n' || i, start_line := i * 20, end_line := i * 20 + CAST(doc_id % 15 AS BIGINT)) FOR i IN range(1, CAST(doc_id % 4 AS BIGINT) + 1)]"
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ZIP_BYTES = 100 * 1024 * 1024
-#: Fixed: endings of files that an archive may not hold.
-EXECUTABLE_SUFFIXES = (".exe", ".dll", ".so", ".bat", ".cmd", ".com", ".sh")
+#: Endings of files that an archive may not hold.
+EXECUTABLE_SUFFIXES = (".exe", ".dll", ".so", ".dylib", ".bat")
 
 
 def scan_repository(spark: SparkSession, root: str) -> DataFrame:
@@ -35,19 +35,21 @@ def read_changes(spark: SparkSession, path: str) -> DataFrame:
     return parse_changes(spark.read.text(path))
 
 
-def check_zip(data: bytes) -> str | None:
-    """Why an archive is refused, or None: too large, not a zip, empty, without SKILL.md, or holding executables."""
+def check_zip(data: bytes, name: str = "archive.zip") -> str | None:
+    """Why an archive is refused, or None: no .zip, too large, empty, not a zip, without SKILL.md at its root, or holding executables."""
+    if not name.endswith(".zip"):
+        return "not named .zip"
     if len(data) > MAX_ZIP_BYTES:
         return "too large"
+    if not data:
+        return "empty"
     try:
         names = zipfile.ZipFile(io.BytesIO(data)).namelist()
     except zipfile.BadZipFile:
         return "not a zip file"
-    if not names:
-        return "empty"
-    if not any(n.rsplit("/", 1)[-1] == "SKILL.md" for n in names):
+    if "SKILL.md" not in names:
         return "no SKILL.md"
-    return next((f"executable: {n}" for n in names if n.lower().endswith(EXECUTABLE_SUFFIXES)), None)
+    return next((f"executable: {n}" for n in names if n.endswith(EXECUTABLE_SUFFIXES)), None)
 
 
 def read_zip_members(archives: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def read_zip_members(archives: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for path, data in zip(pdf["path"], pdf["content"]):
-                if problem := check_zip(data):
+                if problem := check_zip(data, path):
                     rows.append((path, None, None, problem))
                     continue
                 with zipfile.ZipFile(io.BytesIO(data)) as z:

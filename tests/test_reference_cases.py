@@ -143,3 +143,62 @@ def test_mmr_with_null_text(spark):
 def test_item_kinds(spark):
     got = spark.createDataFrame([("code.entities",), ("summaries.v1",), ("chunks",), ("other",)], "t string").select(workers.item_kind(F.col("t"))).collect()
     assert [r[0] for r in got] == ["entity", "summary", "chunk", None]
+
+
+def test_line_chunks(spark):
+    rng = random.Random(8)
+    texts = [None, "", "\n", "x" * 50, "\n\n" + "y" * 9 + "\n"] + ["\n".join("a" * rng.randrange(0, 14) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "z"), (None, "z")]
+    got = {}
+    for r in chunking.chunk_lines(spark.createDataFrame(rows, "id long, body string").withColumn("doc_id", F.lit("own")), "id", "body", 20).collect():
+        got.setdefault(r.doc_id, []).append((r.nr, r.chunk))
+    assert sorted(got.pop(None)) == [(0, "z"), (0, "z")] and len(got) == len(texts)
+    for i, text in enumerate(texts):
+        chunks = [c for _, c in sorted(got[i])]
+        assert "\n".join(chunks) == (text or "")
+        # a chunk holds one line or stays within the limit, and could not have taken the next line
+        assert all("\n" not in c or len(c) + 1 <= 20 for c in chunks)
+        assert all(len(a) + 1 + len(b.split("\n")[0]) + 1 > 20 for a, b in zip(chunks, chunks[1:]))
+
+
+def test_zip_archives(spark):
+    import io
+    import zipfile
+
+    from quarry.sources import files
+
+    def packed(*names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in names:
+                z.writestr(n, n)
+        return out.getvalue()
+
+    cases = {"a.zip": packed("SKILL.md", "d/", "d/x.py"), "b.zip": packed("d/SKILL.md"), "c.zip": packed("SKILL.md", "lib.dylib"), "d.zip": packed("SKILL.md", "RUN.EXE", "run.sh"), "e.tar": packed("SKILL.md"), "f.zip": b"", "g.zip": b"no zip", "h.zip": packed()}
+    got = {}
+    for r in files.read_zip_members(spark.createDataFrame(list(cases.items()), "path string, content binary")).collect():
+        got.setdefault(r.archive, []).append(r.problem or (r.member, bytes(r.content).decode()))
+    same = lambda *names: [(n, n) for n in names]
+    assert got == {"a.zip": same("SKILL.md", "d/x.py"), "b.zip": ["no SKILL.md"], "c.zip": ["executable: lib.dylib"], "d.zip": same("SKILL.md", "RUN.EXE", "run.sh"), "e.tar": ["not named .zip"], "f.zip": ["empty"], "g.zip": ["not a zip file"], "h.zip": ["no SKILL.md"]}
+
+
+def test_extraction_payloads(spark):
+    from quarry.operators import extraction
+
+    kind = "chunk_id string, node_set string, nodes array<struct<id:string,name:string,type:string,description:string>>, edges array<struct<source:string,target:string,type:string>>"
+    nodes = [("1", "A", "t", " \n"), ("2", "B", None, " b "), ("3", "", "t", "x"), ("4", None, "t", "x"), ("1", "C", "t", None), ("5", "B", "t", "again")]
+    edges = [("1", "2", "r"), ("1", "5", "r"), ("1", "2", "s"), ("2", "5", "r"), ("1", "3", "r"), ("9", "1", "r"), (None, "1", "r"), ("2", "1", None)]
+    found, linked = extraction.payloads(spark.createDataFrame([("c", "ns", nodes, edges), ("d", "ns", None, None), ("e", "ns", [], edges)], kind))
+    assert sorted((r.chunk_id, r.name, r.entity_type, r.description) for r in found.collect() if r.entity_type) == [("c", "A", "t", "A"), ("c", "B", "t", "again"), ("c", "C", "t", "C")]
+    assert found.where("entity_type IS NULL").select("description").first()[0] == "b" and found.count() == 4
+    assert sorted(((r.source_name, r.relationship_type, r.target_name) for r in linked.collect()), key=repr) == sorted([("C", "r", "B"), ("C", "s", "B"), ("B", None, "C")], key=repr)
+    ids = {r.name: r.entity_id for r in found.collect()}
+    assert all((r.source_id, r.target_id) == (ids[r.source_name], ids[r.target_name]) for r in linked.collect())
+
+
+def test_stored_text(spark):
+    from quarry.functions import text
+
+    rows = ["e\u0301\x00\x07\t\n", None, "", "\x7fplain", "\u1100\u1161"]
+    got = spark.createDataFrame([(r,) for r in rows], "s string").select(text.stored_text(F.col("s"))).collect()
+    assert [r[0] for r in got] == ["\u00e9\t\n", None, "", "plain", "\uac00"]
