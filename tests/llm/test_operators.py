@@ -314,6 +314,14 @@ def test_warc_files(spark, tmp_path, batch_bytes):
         assert got == [(f, i, f"http://a.org/{i}", b"x" * i) for f, n in (("a.warc", 5), ("b.warc.gz", 40)) for i in range(n)]
 
 
+def test_warc_files_of_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "known_to_arrow", lambda path: False)
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 3)
+    (tmp_path / "b.warc").write_bytes(b"")
+    got = warc.read_warc(spark, str(tmp_path), 1).collect()
+    assert sorted((r.nr, r.headers["warc-type"], bytes(r.body)) for r in got) == [(i, "response", b"abc") for i in range(3)]
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "HTTP://WWW.Bad.net/a/?b=1&utm_source=x&a=2#f"), (2, None), (3, "no url"), (4, "http://bad.net/other"), (5, "http://x.example.org/en/12"), (5, "http://x.example.org/en/12"), (6, "http://xorg/"), (7, "http://org?x")], "page_id long, url string").withColumn("rule", F.lit("own"))
     listed = spark.createDataFrame([("https://bad.net/a?a=2&b=1",), (None,), ("",)], "url string")
