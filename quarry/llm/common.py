@@ -50,6 +50,37 @@ def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[D
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in kept.items()]), lambda df: df.select(*[F.col(f"`{n}`").alias(c) for c, n in kept.items()])
 
 
+class Own:
+    """A table whose own columns can't clash with an operator's: they are renamed by position (own_0, own_1, ...), whatever they are called and hold.
+
+    keep: the names of the columns to give back (all); those named like a result, in any case, are left to the result.
+    """
+
+    def __init__(self, df: DataFrame, keep: list[str] | None = None, results: tuple[str, ...] | list[str] = ()):
+        self.names = df.columns
+        self.rows = df.toDF(*[f"own_{i}" for i in range(len(self.names))])
+        taken = {r.lower() for r in results}
+        places = range(len(self.names)) if keep is None else [self._place(c) for c in keep]
+        self.kept = [i for i in places if self.names[i].lower() not in taken]
+
+    def _place(self, name: str) -> int:
+        if name in self.names:
+            return self.names.index(name)
+        return [n.lower() for n in self.names].index(name.lower())
+
+    def at(self, name: str) -> Column:
+        return F.col(f"own_{self._place(name)}")
+
+    @property
+    def columns(self) -> list[str]:
+        """The kept columns under their inner names."""
+        return [f"own_{i}" for i in self.kept]
+
+    def restored(self, df: DataFrame, *results) -> DataFrame:
+        """df's kept columns under their own names, then results."""
+        return df.select(*[F.col(f"own_{i}").alias(self.names[i]) for i in self.kept], *results)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again, and where it lies: cuts lineage at the cost of one run (checkpoint() runs its plan twice)."""
     spark = df.sparkSession

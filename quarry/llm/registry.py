@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import annsearch, bpe, chat, exactsearch, mixing, simhash, tokenscan, toxicity, urls, warc
+from . import annsearch, bpe, centroids, chat, exactsearch, mixing, resampling, secrets, simhash, tokenscan, toxicity, urls, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_urls": urls.op9_urls,
     "op10_tokens": tokenscan.op10_tokens,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_secrets": secrets.op13_secrets,
 }
 ORACLE_SQL = {
     "op2_chat": chat.SQL,
@@ -21,4 +24,6 @@ ORACLE_SQL = {
     "op8_warc": warc.SQL,
     "op9_urls": urls.SQL,
     "op10_tokens": tokenscan.SQL,
+    "op11_resampling": resampling.SQL,
+    "op12_centroids": centroids.SQL,
 }
