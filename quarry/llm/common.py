@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,25 @@ class Own:
         return df.select(*[F.col(f"own_{i}").alias(self.names[i]) for i in self.kept], *results)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str = "8m"):
+    """Within it, what runs (not what is only planned) hands Python at most about so much at a time; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def lean() -> None:
+    """In a task: Arrow hands freed memory back to the system, unlike its pooling default."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again, and where it lies: cuts lineage at the cost of one run (checkpoint() runs its plan twice)."""
     spark = df.sparkSession

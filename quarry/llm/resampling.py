@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import arrow_batches, lean, table, written
 
 BUCKETS = 10_000
 MAX_WORDS = 2
 SEED = 7
 PERCENT, MIN_WORDS = 25, 20
 #: Bytes of text hashed at a time; entries and documents that close a block; steps before long words are finished one by one.
-CHUNK, BLOCK_ENTRIES, BLOCK_ROWS, STEPS = 1 << 20, 1 << 18, 4096, 48
+CHUNK, BLOCK_ENTRIES, BLOCK_ROWS, STEPS = 1 << 19, 1 << 16, 4096, 48
 
 
 @lru_cache(1)
@@ -137,6 +137,7 @@ def _blocks(buckets: int, max_words: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        lean()
         held: list[tuple] = []
 
         def block() -> pa.RecordBatch:
@@ -191,9 +192,11 @@ def _summed(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        lean()
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            np.add.at(total, b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy())
+            for i in range(len(b)):  # a block at a time
+                np.add.at(total, b.column(0)[i].values.to_numpy(), b.column(1)[i].values.to_numpy())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["column", "n"])
 
@@ -220,18 +223,13 @@ def _weighed(gain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        lean()
         for b in batches:
-            n = b.column(2).flatten().to_numpy()
-            starts = b.column(3).flatten().to_numpy().astype(np.int64)
-            # the pointers of the blocks of this batch, one after the other
-            sizes, entries = b.column(0).value_lengths().to_numpy(), b.column(4).value_lengths().to_numpy()
-            keep = np.ones(len(starts), bool)
-            keep[np.cumsum(sizes + 1) - 1] = False
-            starts = (starts + np.repeat(np.concatenate([[0], np.cumsum(entries)])[:-1], sizes + 1))[keep]
-            product = np.concatenate([[0], np.cumsum(gain[b.column(4).flatten().to_numpy()] * b.column(5).flatten().to_numpy().astype(np.int64))])
-            total = np.diff(product[np.concatenate([starts, [len(product) - 1]])])
-            weight = total // np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0).flatten(), b.column(1).flatten(), pa.array(n, pa.int64()), pa.array(weight, pa.int64())], names=["id", "n_words", "n_features", "weight"])
+            for i in range(len(b)):  # a block at a time
+                ids, words, n, ends, columns, counts = (b.column(k)[i].values for k in range(6))
+                product = gain[columns.to_numpy()] * counts.to_numpy().astype(np.int64)
+                total = np.diff(np.concatenate([[0], np.cumsum(product)])[ends.to_numpy()])
+                yield pa.RecordBatch.from_arrays([ids, words, n, pa.array(total // np.maximum(n.to_numpy(), 1), pa.int64())], names=["id", "n_words", "n_features", "weight"])
 
     return run
 
@@ -266,10 +264,11 @@ def resample(
     buckets: int = BUCKETS, max_words: int = MAX_WORDS, seed: int = SEED, chunk: int = CHUNK,
 ) -> DataFrame:
     """(id, n_words, n_features, weight, score, rank) of every document; rank is null where a document is not drawn."""
-    blocks, _ = written(count_matrix(docs, text, doc_id, buckets, max_words, chunk))
-    wanted = count_matrix(target, target_text, None, buckets, max_words, chunk)
-    gain = gains(column_sums(blocks, buckets), column_sums(wanted, buckets), buckets)
-    scored, _ = written(weights(blocks, gain).withColumn("score", F.col("weight") + noise(F.col("id"), seed)).withColumn("at", F.monotonically_increasing_id()))
+    with arrow_batches(docs.sparkSession):
+        blocks, _ = written(count_matrix(docs, text, doc_id, buckets, max_words, chunk))
+        wanted = count_matrix(target, target_text, None, buckets, max_words, chunk)
+        gain = gains(column_sums(blocks, buckets), column_sums(wanted, buckets), buckets)
+        scored, _ = written(weights(blocks, gain).withColumn("score", F.col("weight") + noise(F.col("id"), seed)).withColumn("at", F.monotonically_increasing_id()))
     fit = scored.where(F.col("n_words") >= min_words)
     drawn = percent * fit.count() // 100
     placed = ranked(fit, [F.desc("score"), F.col("id").asc_nulls_last(), F.asc("at")])

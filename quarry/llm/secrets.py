@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Own, table, written
+from .common import Own, arrow_batches, lean, table, written
 
 MIN_LENGTH = 16
 ALPHA, RATE = 0.01, 0.001
@@ -185,6 +185,7 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts of bytes (below 256) and of pairs of classes within runs (from 256 on)."""
     import numpy as np
 
+    lean()
     kind = np.full(256, 4, np.uint8)
     for c, k in _CLASS.items():
         kind[ord(c)] = k
@@ -208,14 +209,10 @@ def ordinary_text(docs: DataFrame, text: str = "text") -> dict[str, tuple[list[f
     """For each encoding the shares of its symbols, and how often the class changes, in all texts."""
     counts = docs.select(F.col(f"`{text}`").cast("binary")).mapInArrow(_byte_counts, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
     n = {r["at"]: r["n"] for r in counts.collect()}  # at most 281 rows
-    out = {}
-    for name, letters in ENCODINGS.items():
-        own = [n.get(ord(c), 0) + 1 for c in letters]
-        classes = {_CLASS[c] for c in letters}
-        pair = {(i, j): n.get(256 + 5 * i + j, 0) for i in classes for j in classes}
-        change = (sum(x for (i, j), x in pair.items() if i != j) + 1) / (sum(pair.values()) + 2)
-        out[name] = ([x / sum(own) for x in own], change)
-    return out
+    pair = {(i, j): n.get(256 + 5 * i + j, 0) for i in range(4) for j in range(4)}
+    change = (sum(x for (i, j), x in pair.items() if i != j) + 1) / (sum(pair.values()) + 2)
+    own = {name: [n.get(ord(c), 0) + 1 for c in letters] for name, letters in ENCODINGS.items()}
+    return {name: ([x / sum(c) for x in c], change) for name, c in own.items()}
 
 
 def tested(runs: list[re.Match], model: dict, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -238,6 +235,7 @@ def _scanned(model: dict):
     token_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("group", pa.int32()), ("step", pa.int32()), ("digest", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             base, tokens = [], []
             for text in b.column(0):
@@ -268,12 +266,14 @@ def least_steps(counts: dict[int, dict[int, int]], rate: float = RATE) -> dict[i
 def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rate: float = RATE) -> DataFrame:
     """docs' columns (or those in keep) with spans: array of (start, kind, end), by start and then in the order of KINDS."""
     own = Own(docs, keep, ["spans"])
-    model = ordinary_text(docs, text)
+    with arrow_batches(docs.sparkSession):
+        model = ordinary_text(docs, text)
     rows = own.rows.select(own.at(text).alias("text"), *own.columns)
     base = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "kind", "end")]))
     tokens = T.ArrayType(T.StructType([*[T.StructField(c, T.IntegerType()) for c in ("start", "end", "group", "step")], T.StructField("digest", T.LongType())]))
     schema = T.StructType([*rows.schema[1:], T.StructField("base", base), T.StructField("tokens", tokens)])
-    scanned, _ = written(rows.mapInArrow(_scanned(model), schema))
+    with arrow_batches(docs.sparkSession):
+        scanned, _ = written(rows.mapInArrow(_scanned(model), schema))
     each = scanned.where(F.size("tokens") > 0).select(F.explode("tokens").alias("t")).select("t.group", "t.step", "t.digest").distinct()
     counts: dict[int, dict[int, int]] = {}
     for r in each.groupBy("group", "step").agg(F.count("*").alias("n")).collect():  # at most groups * STEPS rows

@@ -131,7 +131,7 @@ def test_secrets_random_tokens(spark):
     sentence = "the quick brown fox jumps over the lazy dog and runs on through the evening rain "
     keys = ["".join(rng.choice(secrets.ENCODINGS[e]) for _ in range(n)) for e in ("base62", "base64", "base64url") for n in (24, 32, 48, 64) for _ in range(5)]
     keys += ["".join(rng.choice(secrets.ENCODINGS["HEX"]) for _ in range(n)) for n in (40, 64) for _ in range(5)]
-    rows = [(i, sentence * 3 + k + " " + sentence) for i, k in enumerate(keys)] + [(1000 + i, sentence * 3 + p + " " + sentence) for i, p in enumerate(plain)]
+    rows = [(i, sentence * 30 + k + " " + sentence) for i, k in enumerate(keys)] + [(1000 + i, sentence * 30 + p + " " + sentence) for i, p in enumerate(plain)]
     rows += [(2000 + i, rows[0][1]) for i in range(20)]  # copies of one key are one test
     found = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == 3] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(found[1000 + i] == [] for i in range(len(plain)))
