@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, simhash, toxicity
-from quarry.llm.common import set_aside, table, written
+from quarry.llm.common import Own, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents scored at or above the threshold go."""
-    docs, restored = set_aside(docs, ["held_out", "score", "predicted"])
-    return restored(toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    own = Own(docs)
+    scored = toxicity.score(own.rows, table(spark, sf_dir, "labels"), own.name("text"), own.name("doc_id"), label_id="doc_id")
+    return own.restored(scored.where("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +27,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: every document as often as the mix takes it."""
-    docs, restored = set_aside(docs, ["size", "source_size", "target", "copies", "taken"])
-    mixed = mixing.mix(docs).where("copies > 0")
-    return restored(mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
+    own = Own(docs)
+    mixed = mixing.mix(own.rows, own.name("text"), own.name("source"), own.name("doc_id")).where("copies > 0")
+    return own.restored(mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

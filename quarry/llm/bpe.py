@@ -25,8 +25,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import let, removed, table, written
+from .common import Own, let, removed, table, written
 
 HOT_WORDS = 1 << 20
 HOT_BYTES = 64
@@ -34,6 +35,7 @@ HOT_BYTES = 64
 LONG = 256
 #: Rows an Arrow batch holds (the JVM keeps batches outside its heap), rows or bytes a Python worker looks up, and rows it assembles at a time.
 ARROW_ROWS, LOOK_UP, LOOK_UP_BYTES, ASSEMBLE = 250, 4000, 1 << 25, 250
+LEVELS = 1024
 _NEVER = 1 << 30
 _LOW = (1 << 32) - 1
 
@@ -203,19 +205,23 @@ def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
 
 
 def hot_words(docs: DataFrame, text: str, pattern: str, ranks: Column, whole: dict[str, int], hot: int) -> pa.Table:
-    """(word, ids) of the most frequent words: all those at or above the least count that at most ``hot`` words reach."""
+    """(word, ids) of the most frequent words: all those at or above the least count (in steps of its power of two / LEVELS) that at most ``hot`` words reach."""
     spark = docs.sparkSession
     counts, path = written(word_counts(docs, text, pattern).where((F.col("n") > 1) & (F.octet_length("word") <= HOT_BYTES)))
-    # how many words have each count, up to a count that at most `hot` words can reach
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    level = F.least(F.col("n"), F.lit(total // max(hot, 1) + 1))
-    by_count = counts.groupBy(level.alias("n")).agg(F.count("*").alias("words"))
+    # the least count that at most `hot` words reach: by powers of two, then in one level of the power that it lies in
     kept, least = 0, None
-    for n, words in sorted(by_count.collect(), reverse=True):  # one row a count below total / hot
-        kept += words
-        if kept > hot:
-            break
-        least = n
+    power = lambda c: F.length(F.bin(c))
+    for p, words in sorted(counts.groupBy(power("n")).agg(F.count("*")).collect(), reverse=True):  # at most 63 rows
+        if kept + words <= hot:
+            kept, least = kept + words, 1 << (p - 1)
+            continue
+        low, step = 1 << (p - 1), max(1, (1 << (p - 1)) // LEVELS)
+        inside = counts.where(power("n") == p).groupBy(F.floor((F.col("n") - low) / step).alias("level")).agg(F.count("*"))
+        for level, words in sorted(inside.collect(), reverse=True):  # at most LEVELS rows
+            if kept + words > hot:
+                break
+            kept, least = kept + words, low + level * step
+        break
     chosen = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
     parts = max(1, min(kept // 5000, 4 * spark.sparkContext.defaultParallelism))
     found = chosen.repartition(parts, "word").select("word", ranks.alias("__ranks")).select("word", merged(F.col("word"), F.col("__ranks"), whole).alias("ids")).toArrow()
@@ -352,19 +358,23 @@ def encode_decode(docs: DataFrame, text: str = "text", keep: list[str] | None =
     ranks, pattern = read_ranks(ranks_path or own_path), pattern or own_pattern
     literal, whole = rank_map(spark, ranks_path or own_path)
     found = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in found]
-    found_hot = hot_words(docs, text, pattern, literal, whole, hot)
+    own = Own(docs, keep, found)
+    keep = own.columns
+    found_hot = hot_words(own.rows, own.name(text), pattern, literal, whole, hot)
     words, word_ids = (spark.sparkContext.broadcast(_ipc(found_hot.select([c]))) for c in ("word", "ids"))
     del found_hot
     by_id = {v: k for k, v in ranks.items()}
     pieces = spark.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id) + 1)])
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema]
-    split = docs.select(*[F.col(f"`{c}`") for c in keep], words_of(F.col(text), pattern).alias("__words")).mapInArrow(_known(words, keep), ", ".join([*kinds, "__at array<int>", "__tail array<string>"]))
+    kinds = own.rows.select(*keep).schema.fields
+    ints, longs = T.ArrayType(T.IntegerType()), T.LongType()
+    places = T.StructType([*kinds, T.StructField("__at", ints), T.StructField("__tail", T.ArrayType(T.StringType()))])
+    split = own.rows.select(*keep, words_of(own.at(text), pattern).alias("__words")).mapInArrow(_known(words, keep), places)
     # the planner merges both projections, so that the map is never a column of a row (a subquery can't be written inside a higher-order function)
     ranked = split.select("*", literal.alias("__ranks"))
-    folded = ranked.select(*[F.col(f"`{c}`") for c in keep], "__at", let(F.col("__ranks"), lambda m: F.transform("__tail", lambda w: merged(w, m, whole))).alias("__enc"))
-    last = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["ids array<int>", "decoded binary"]
-    return folded.mapInArrow(_assembled(word_ids, pieces, keep, digests), ", ".join([*kinds, *last]))
+    folded = ranked.select(*keep, "__at", let(F.col("__ranks"), lambda m: F.transform("__tail", lambda w: merged(w, m, whole))).alias("__enc"))
+    last = dict(zip(found, (longs, T.StringType(), T.StringType()) if digests else (ints, T.BinaryType())))
+    done = folded.mapInArrow(_assembled(word_ids, pieces, keep, digests), T.StructType([*kinds, *[T.StructField(c, t) for c, t in last.items()]]))
+    return own.restored(done, *found)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

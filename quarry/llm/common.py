@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,12 +44,6 @@ def known_to_arrow(path: str) -> bool:
     return True
 
 
-def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """docs with its own columns of these names under other names, and what selects docs' columns again, named as before."""
-    kept = {c: f"__own_{c}" if c in names else c for c in docs.columns}
-    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in kept.items()]), lambda df: df.select(*[F.col(f"`{n}`").alias(c) for c, n in kept.items()])
-
-
 class Own:
     """A table whose own columns can't clash with an operator's: they are renamed by position (own_0, own_1, ...), whatever they are called and hold.
 
@@ -69,8 +62,12 @@ class Own:
             return self.names.index(name)
         return [n.lower() for n in self.names].index(name.lower())
 
+    def name(self, name: str) -> str:
+        """A column's inner name."""
+        return f"own_{self._place(name)}"
+
     def at(self, name: str) -> Column:
-        return F.col(f"own_{self._place(name)}")
+        return F.col(self.name(name))
 
     @property
     def columns(self) -> list[str]:
@@ -133,11 +130,14 @@ def components(edges: DataFrame) -> DataFrame:
         # written, so that both sides of the join are plain shuffles and the edges of a node with very many can be split over tasks
         least, least_path = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written, so that neither side of the next join is an aggregate by its key and a hub's edges can be split over tasks
+        large, large_path = written(large)
+        low, low_path = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e, new = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         removed(spark, path)
-        removed(spark, least_path)
+        for p in (least_path, large_path, low_path):
+            removed(spark, p)
         path = new
         state, before = _settled(e), state
         if state == before:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, Own, table, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -55,11 +55,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target, copies and taken (copies * size)."""
     out = ["size", "source_size", "target", "copies", "taken"]
-    base = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in out],
-        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("__digest"),
-        F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("__source"),
+    own = Own(docs, results=out)
+    base = own.rows.select(
+        *own.columns,
+        F.coalesce(own.at(text), F.lit("")).alias("__text"),
+        F.regexp_count(F.coalesce(own.at(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(own.at(doc_id).cast("string"), F.lit("")))).alias("__digest"),
+        F.coalesce(F.concat(F.lit("="), own.at(source)), F.lit("")).alias("__source"),
     )
     base = base.withColumn("__class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 8)).otherwise(F.lit(-1)).cast("int"))
     base = base.withColumn("__lane", F.conv(F.substring("__digest", 31, 2), 16, 10).cast("int") % LANES)
@@ -71,14 +73,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("__source"), F.col("words").alias("source_size"), "target", F.col("rate").alias("__rate"))
     before = Window.partitionBy("__source").orderBy("__class", "__lane").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n", "__words").join(targets, "__source")
-    ties = [F.col("__digest"), F.md5(F.coalesce(F.col(text), F.lit("")))] if text in docs.columns else [F.col("__digest")]
+    ties = [F.col("__digest"), F.md5("__text")]
     ranked = base.withColumn("__row", F.row_number().over(Window.partitionBy(*key).orderBy(*ties))).join(placed, key)
     offset = _fraction(F.concat(F.lit(seed + "/"), F.col("__source")))
     upto = lambda rows: F.floor(F.col("__rate") * rows + offset)
     rank = F.col("__before") + F.col("__row")
     ranked = ranked.withColumn("copies", (upto(rank.cast("double")) - upto((rank - 1).cast("double"))).cast("long"))
     ranked = ranked.withColumn("taken", F.col("copies") * F.col("size"))
-    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns if c not in out], *out)
+    return own.restored(ranked, *out)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

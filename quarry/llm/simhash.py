@@ -22,8 +22,9 @@ from itertools import combinations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD, components, let, table, written
+from .common import WORD, Own, components, let, table, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLOCK = 1 << 15
@@ -70,8 +71,8 @@ def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), shingle_hashes(F.col(text), shingle).alias("h")).mapInArrow(_majority, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), shingle_hashes(F.col(f"`{text}`"), shingle).alias("h"))
+    return rows.mapInArrow(_majority, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def ball(radius: int) -> list[int]:
@@ -106,14 +107,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row of each component, with all its columns: the one of the smallest doc_id, null last, then of the smallest SHA-256 of its text, then of the smallest other columns."""
+    """One row of each component, with all its columns: the one of the smallest doc_id, null last, then of the smallest SHA-256 of its text, then of the smallest JSON of all its columns.
+
+    Copies of one row are brought down to one by a partial aggregate in every task, so no task sorts them all.
+    """
     # rows of one text have one fingerprint, so doc_id and digest name a row up to its exact copies
-    keyed = docs.withColumn("__key", F.struct(F.col(doc_id).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest")))
-    fps, _ = written(fingerprints(keyed, text, "__key", shingle).select("fp", F.struct(F.col("doc_id.doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("key")).alias("row")))
+    own = Own(docs)
+    keyed = own.rows.withColumn("__key", F.struct(own.at(doc_id).alias("doc_id"), F.sha2(F.coalesce(own.at(text), F.lit("")), 256).alias("digest")))
+    fps, _ = written(fingerprints(keyed, own.name(text), "__key", shingle).select("fp", F.struct(F.col("doc_id.doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("key")).alias("row")))
     found = rooted(fps.groupBy("fp").agg(F.min("row").alias("row")), radius)
     kept = found.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("__key"))
-    others = Window.partitionBy("__key").orderBy(*[c for c in docs.columns if c != doc_id])
-    return keyed.join(kept, "__key", "left_semi").withColumn("__nr", F.row_number().over(others)).where("__nr = 1").select(*docs.columns)
+    rest = [c for c in own.columns if c != own.name(text)]
+    row = F.struct(*own.columns)
+    one = keyed.join(kept, "__key", "left_semi").groupBy("__key").agg(F.min_by(row, F.to_json(F.struct(*rest))).alias("__row"))
+    return own.restored(one.select("__row.*"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

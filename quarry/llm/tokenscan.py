@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, known_to_arrow, shared_dir, table
+from .common import WORD, known_to_arrow, shared_dir, table, written
 
 #: The end-of-document id: the bytes "}}".  Token ids lie below IDS, so they never equal it.
 END = 0x7D7D
@@ -41,12 +41,15 @@ def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         col = b.column(0)
         cuts = col.offsets.to_numpy() * 2
-        data = col.values.to_numpy(zero_copy_only=False).astype("<u2").tobytes()
+        ids = col.values.to_numpy(zero_copy_only=False)
+        if len(ids) and not (0 <= ids.min() and ids.max() < IDS):  # a null among them is no number and fails alike
+            raise ValueError(f"token ids lie from 0 to {IDS - 1}")
+        data = ids.astype("<u2").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([data[x:y] for x, y in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["value"])
 
 
 def write_flat(tokens: DataFrame, column: str, path: str) -> None:
-    """Writes arrays of token ids (0 to IDS - 1) as flat files."""
+    """Writes arrays of token ids (0 to IDS - 1; others raise) as flat files."""
     end = bytes([END & 255, END >> 8]).decode("ascii")
     raw = tokens.select(F.coalesce(F.col(column), F.array().cast("array<int>")).alias("t")).mapInArrow(_bytes_of, "value binary")
     raw.select(F.col("value").cast("string")).write.option("lineSep", end).text(path)
@@ -107,10 +110,14 @@ def _cut(end: int, lead: int, piece: int):
 def stitched(pieces: DataFrame, lead: int = LEAD) -> DataFrame:
     """From pieces (path, first, size, ends, leads, head) in any order: (path, doc_index, start, n_tokens, lead) of every document, in tokens."""
     # the prefix scan: where the running document of each piece began, and how many ended before
+    pieces, _ = written(pieces)
     order = Window.partitionBy("path").orderBy("first")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     last = F.when(F.size("ends") > 0, F.struct((F.element_at("ends", -1) + 1).alias("start"), F.element_at("leads", -1).alias("lead")))
-    pieces = pieces.withColumns({"open": F.last(last, True).over(before), "docs": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)), "head": F.first("head", True).over(order), "next": F.lead("first").over(order)})
+    # one thin row a piece passes through the window: its last end and lead, its number of ends, its head
+    thin = pieces.select("path", "first", last.alias("last"), F.size("ends").alias("n"), "head")
+    thin = thin.withColumns({"open": F.last("last", True).over(before), "docs": F.coalesce(F.sum("n").over(before), F.lit(0)), "head": F.first("head", True).over(order), "next": F.lead("first").over(order)})
+    pieces = pieces.drop("head").join(thin.select("path", "first", "open", "docs", "head", "next"), ["path", "first"])
     opened = F.coalesce("open", F.struct(F.lit(0).cast("long").alias("start"), F.col("head").alias("lead")))
     stop = F.col("first") + F.col("size")
     tail = F.col("next").isNull() & (stop > F.when(F.size("ends") > 0, F.element_at("ends", -1) + 1).otherwise(opened["start"]))

@@ -26,8 +26,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import removed, table, written
+from .common import Own, removed, table, written
 
 MAX_LABELLED = 16384
 MIN_ROWS = 3
@@ -170,12 +171,14 @@ def chosen_penalty(rows: list[tuple[int, list[int], list[list[int]]]], folds: li
     return min(PENALTIES, key=lambda l2: (loss[l2], -l2))
 
 
-def learned(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", groups=GROUPS, penalty: float = 1.0, max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], float]:
+def learned(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", groups=GROUPS, penalty: float = 1.0, max_labelled: int = MAX_LABELLED, label_id: str | None = None) -> tuple[dict[str, float], float]:
     """The weight of each feature and the intercept."""
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    known = known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    labels = labels.select(F.col(f"`{label_id or doc_id}`").alias("doc_id"), F.col(f"`{label}`").alias("label"))
+    known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("label").cast("int").alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)  # so a broadcast of at most that many rows
-    found = docs.join(F.broadcast(known), F.col(doc_id) == F.col("__id")).groupBy("__id").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("text"), F.max("__y").alias("toxic"))
+    found = docs.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).groupBy("__id").agg(F.min(F.coalesce(F.col("text"), F.lit(""))).alias("text"), F.max("__y").alias("toxic"))
     sample, path = written(found.select("text", "toxic", F.xxhash64("text").alias("h")))
     counts = sample.mapInArrow(_counted, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     size = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -211,11 +214,12 @@ def _scored(weights: dict[str, float], intercept: float, names: list[str], thres
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, threshold: float = THRESHOLD, **fitting) -> DataFrame:
     """docs' columns (or those in keep) with held_out, score and predicted."""
-    weights, intercept = learned(docs, labels, text, doc_id, **fitting)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "score", "predicted")]
-    rows = docs.select(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in names], held_out(F.col(doc_id)).alias("held_out"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]]
-    return rows.mapInArrow(_scored(weights, intercept, [*names, "held_out"], threshold), ", ".join([*kinds, "score double", "predicted int"]))
+    own = Own(docs, keep, ["held_out", "score", "predicted"])
+    weights, intercept = learned(own.rows, labels, own.name(text), own.name(doc_id), **({"label_id": doc_id} | fitting))
+    rows = own.rows.select(own.at(text).alias("__text"), *own.columns, held_out(own.at(doc_id)).alias("held_out"))
+    schema = T.StructType([*rows.schema[1:], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    done = rows.mapInArrow(_scored(weights, intercept, [*own.columns, "held_out"], threshold), schema)
+    return own.restored(done, "held_out", "score", "predicted")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,11 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import Own, let, table, written
 
 PER_BLOCK = 16
 MAX_BROADCAST = 1 << 16
-MAX_RULES = 1000
+#: Keys over which pages without host are dealt.
+NOWHERE = 4096
+LITERAL_RULES = 1000
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Host labels whose https URLs stand for a published list in the query.
@@ -54,14 +56,17 @@ def canonical(url: Column) -> Column:
     return F.coalesce(F.when(host != "", full), F.lit(""))
 
 
-def rule_for(host: Column, path: Column, rules) -> Column:
+def rules_column(spark: SparkSession, rules) -> Column:
+    """The rules as an array of (h, p, v): a literal, beyond LITERAL_RULES the one row of a local relation, so that plans don't hold them."""
+    kind = "array<struct<h:string,p:string,v:string>>"
+    if len(rules) > LITERAL_RULES:
+        return spark.createDataFrame([([tuple(r) for r in rules],)], f"rules {kind}").scalar()
+    return F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p"), F.lit(v).alias("v")) for h, p, v in rules]).cast(kind)
+
+
+def rule_for(host: Column, path: Column, rules: Column) -> Column:
     """(rule, verdict) of the longest rule that fits, or null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules are read as a literal")
-    if not rules:
-        return F.lit(None).cast("struct<size:int,wide:int,rule:string,verdict:string>")
-    own = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p"), F.lit(v).alias("v")) for h, p, v in rules])
-    fits = F.filter(own, lambda r: ((host == r["h"]) | F.endswith(host, F.concat(F.lit("."), r["h"]))) & F.startswith(path, r["p"]))
+    fits = F.filter(rules, lambda r: ((host == r["h"]) | F.endswith(host, F.concat(F.lit("."), r["h"]))) & F.startswith(path, r["p"]))
     return F.array_max(F.transform(fits, lambda r: F.struct((F.length(r["h"]) + F.length(r["p"])).alias("size"), F.length(r["h"]).alias("wide"), F.concat(r["h"], r["p"]).alias("rule"), r["v"].alias("verdict"))))
 
 
@@ -85,21 +90,23 @@ def bloom(listed: DataFrame, blocks: int, url: str = "canon") -> DataFrame:
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url", listed_url: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule and verdict."""
     out = ["host", "path", "rule", "verdict"]
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in out]
+    own = Own(pages, results=out)
     names = listed.select(canonical(F.col(listed_url)).alias("__listed")).where("__listed <> ''").distinct()
     names, _ = written(names)  # read three times, and counted
     blocks = blocks_for(names.count())
-    rows = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), canonical(F.col(url)).alias("__canon"))
-    rows = rows.withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules)).select("*", *[b.alias(f"__{n}") for b, n in zip(_bits("__canon", blocks), ("block", "m0", "m1", "m2", "m3"))])
+    rows = own.rows.select(*own.columns, *[part(own.at(url)).alias(c) for part, c in ((host_of, "host"), (path_of, "path"), (canonical, "__canon"))], rules_column(pages.sparkSession, rules).alias("__rules"))
+    rows = rows.withColumn("__rule", rule_for(F.col("host"), F.col("path"), F.col("__rules"))).drop("__rules").select("*", *[b.alias(f"__{n}") for b, n in zip(_bits("__canon", blocks), ("block", "m0", "m1", "m2", "m3"))])
     seen = bloom(names, blocks, "__listed").select(*[F.col(c).alias(f"__{c}") for c in ("block", "w0", "w1", "w2", "w3")])
+    if blocks > MAX_BROADCAST:  # pages without host are never listed, and may be many: no one key for them
+        rows = rows.withColumn("__block", F.when(F.col("__canon") != "", F.col("__block")).otherwise(-1 - F.monotonically_increasing_id() % NOWHERE))
     rows = rows.join(F.broadcast(seen) if blocks <= MAX_BROADCAST else seen, "__block", "left")
     hit = F.col("__rule").isNull() & (F.col("__canon") != "")
     for i in range(4):
         hit = hit & (F.coalesce(F.col(f"__w{i}"), F.lit(0)).bitwiseAND(F.col(f"__m{i}")) == F.col(f"__m{i}"))
-    final = [*kept, "host", "path", F.col("__rule")["rule"].alias("rule")]
+    final = [*own.columns, "host", "path", F.col("__rule")["rule"].alias("rule")]
     sure = rows.where(~hit).select(*final, F.coalesce(F.col("__rule")["verdict"], F.lit("allow")).alias("verdict"))
     possible = rows.where(hit).join(names.hint("shuffle_hash"), F.col("__canon") == F.col("__listed"), "left")
-    return sure.unionByName(possible.select(*final, F.when(F.col("__listed").isNotNull(), "block").otherwise("allow").alias("verdict")))
+    return own.restored(sure.unionByName(possible.select(*final, F.when(F.col("__listed").isNotNull(), "block").otherwise("allow").alias("verdict"))), *out)
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

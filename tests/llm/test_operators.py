@@ -431,3 +431,56 @@ def test_pipeline_stages_keep_own_columns(spark):
         for df in (docs, docs.limit(0)):
             out = stage(spark, df, SF)
             assert out.columns == docs.columns and all(r.score == "own" and r["size"] in (5, 6) for r in out.collect())
+
+
+CLASHING = ("a.b", "__at", "__id", "__key", "__nr", "__block", "__text", "__class", "__source", "own_0", "Score", "SIZE", "rank", "n_Tokens", "Host")
+
+
+def clashing(df):
+    """df with columns whose names operators use, a dotted one and a map."""
+    return df.select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASHING], F.create_map(F.lit("k"), F.col(f"`{df.columns[0]}`")).alias("m"))
+
+
+def mine(rows, results):
+    """Whether all clashing columns came back as they were."""
+    taken = {r.lower() for r in results}
+    names = rows[0].__fields__
+    kept = [c for c in CLASHING if c.lower() not in taken]
+    return all(r[names.index(c)] == f"mine {c}" for r in rows for c in kept) and all(r[names.index("m")] is not None for r in rows) and [n for n in names if n in results] == list(results)
+
+
+def test_clashing_columns(spark):
+    docs = clashing(spark.createDataFrame([*ODD, *[(100 + i, f"some words of text {i % 3} here", "c") for i in range(9)]], "doc_id long, text string, source string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 109)], "doc_id long, toxic int")
+    n = docs.count()
+    for results, df in (
+        (["ids", "decoded"], bpe.encode_decode(docs)),
+        (["n_tokens", "ids_sha256", "decoded_sha256"], bpe.encode_decode(docs, digests=True)),
+        (["held_out", "score", "predicted"], toxicity.score(docs, labels)),
+        (["size", "source_size", "target", "copies", "taken"], mixing.mix(docs)),
+    ):
+        rows = df.collect()
+        assert len(rows) == n and mine(rows, results)
+        assert sorted((str(r.doc_id), str(r.text)) for r in rows) == sorted((str(r.doc_id), str(r.text)) for r in docs.collect())
+    single = simhash.survivors(docs)
+    assert single.columns == docs.columns and mine(single.collect(), [])
+    pages = clashing(spark.createDataFrame([(1, "https://a.example.org/es/x"), (2, None), (3, "http://b.com/y"), (4, "no url")], "page_id long, url string"))
+    listed = spark.createDataFrame([("http://b.com/y",)], "url string")
+    rows = urls.judge(pages, listed).collect()
+    assert mine(rows, ["host", "path", "rule", "verdict"]) and sorted((r.page_id, r.verdict) for r in rows) == [(1, "block"), (2, "allow"), (3, "block"), (4, "allow")]
+
+
+def test_many_rules_and_a_shuffled_filter(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://h5.net/x", "http://s.h5.net/x/y", "http://h2000.net/", "http://q.net/", None, "nothing", "http://listed.net/a", "http://listed.net/b"])], "page_id long, url string")
+    rules = [(f"h{i}.net", "/x" if i % 2 else "/", "block" if i % 5 else "allow") for i in range(3000)]
+    listed = spark.createDataFrame([("http://listed.net/a",)], "url string")
+    want = {0: ("h5.net/x", "allow"), 1: ("h5.net/x", "allow"), 2: ("h2000.net/", "allow"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "block"), 7: (None, "allow")}
+    for most in (urls.MAX_BROADCAST, 0):
+        monkeypatch.setattr(urls, "MAX_BROADCAST", most)
+        assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, listed, rules=rules).collect()} == want
+
+
+def test_token_ids_out_of_range(spark, tmp_path):
+    bad = spark.createDataFrame([([70000, 1],), ([tokenscan.END, 2],)], "t array<int>")
+    with pytest.raises(Exception, match="token ids"):
+        tokenscan.write_flat(bad, "t", f"file://{tmp_path}/flat")

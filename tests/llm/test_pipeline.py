@@ -37,3 +37,19 @@ def test_stages(spark):
 def test_repeated_documents_leave_one(spark):
     docs = spark.createDataFrame([(3, "a b c d"), (3, "a b c d"), (5, "A b c d"), (None, "x y"), (8, None)], "doc_id long, text string")
     assert sorted((r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=repr) == [3, 8, None]
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Empty documents, null texts, repeated rows and clashing columns run through all stages."""
+    from .test_operators import ODD, clashing
+
+    docs = clashing(spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in ODD], "doc_id long, text string, lang string, source string, n_chars long"))
+    labels = spark.createDataFrame([(7, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, df in (("empty", docs.limit(0)), ("odd", docs)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/empty").collect() == []
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}/odd").collect()
+    assert {r.doc_id for r in out} <= {i for i, _, _ in ODD} and all(r.n_tokens >= 0 for r in out)
+    for stage in (corpus_pipeline.reject_toxic, corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix_sources):
+        assert stage(spark, docs, f"file://{tmp_path}/odd").columns == docs.columns
