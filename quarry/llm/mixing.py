@@ -58,7 +58,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     own = Own(docs, results=out)
     base = own.rows.select(
         *own.columns,
-        F.coalesce(own.at(text), F.lit("")).alias("__text"),
+        F.md5(F.coalesce(own.at(text), F.lit(""))).alias("__body"),
         F.regexp_count(F.coalesce(own.at(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(own.at(doc_id).cast("string"), F.lit("")))).alias("__digest"),
         F.coalesce(F.concat(F.lit("="), own.at(source)), F.lit("")).alias("__source"),
@@ -73,8 +73,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("__source"), F.col("words").alias("source_size"), "target", F.col("rate").alias("__rate"))
     before = Window.partitionBy("__source").orderBy("__class", "__lane").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n", "__words").join(targets, "__source")
-    ties = [F.col("__digest"), F.md5("__text")]
-    ranked = base.withColumn("__row", F.row_number().over(Window.partitionBy(*key).orderBy(*ties))).join(placed, key)
+    ranked = base.withColumn("__row", F.row_number().over(Window.partitionBy(*key).orderBy("__digest", "__body"))).join(placed, key)
     offset = _fraction(F.concat(F.lit(seed + "/"), F.col("__source")))
     upto = lambda rows: F.floor(F.col("__rate") * rows + offset)
     rank = F.col("__before") + F.col("__row")
