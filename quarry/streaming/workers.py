@@ -1,7 +1,7 @@
-"""The workers of the ingestion pipeline as streams: sources, sinks, and steps that keep their state as tables beside the stream.
+"""The workers of the ingestion pipeline as streams: sources, sinks, and steps.
 
-A step gets each micro-batch once its predecessor's state is written; state is a table that a batch replaces under its own
-number, so a batch that is run again after a failure starts from the same state and gives the same one.
+State is Spark's own (deduplication, aggregates, and keyed.py), offsets are those of the source, and each batch's rows are
+committed once under its number, so a query that is stopped anywhere goes on from its checkpoint.
 """
 
 from __future__ import annotations
@@ -9,11 +9,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import upserts
 from ..operators.clusters import kept_dir
+from ..sources import log
+from . import keyed
 
 
 def source(spark: SparkSession, fmt: str, options: dict[str, str], schema: str | None = None, per_trigger: int = 100) -> DataFrame:
@@ -42,96 +44,71 @@ def messages(rows: DataFrame, topic: str, key: str) -> DataFrame:
     return rows.select(F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
-class State:
-    """A table beside a stream, replaced batch by batch in a shared folder."""
+class Job:
+    """A streaming query that is run, stopped and run again from its checkpoint.
 
-    def __init__(self, spark: SparkSession, schema: str):
-        self.spark, self.schema, self.path = spark, schema, f"{kept_dir(spark)}/quarry-state-{uuid.uuid4().hex}"
-        self.last = -1
-        self.put(spark.createDataFrame([], schema), -1)
+    make() gives the stream of results.  Appended rows go into a batch_table, each batch once; with ``update`` every batch
+    brings the rows of the keys that it changed, so what is written grows with the changes and not with the table.
+    """
 
-    def get(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.last}")
+    def __init__(self, spark: SparkSession, make: Callable[[], DataFrame], place: str | None = None, update: bool = False):
+        self.spark, self.make, self.update = spark, make, update
+        self.place = place or f"{kept_dir(spark)}/quarry-job-{uuid.uuid4().hex}"
+        self.checkpoint, self.table = f"{self.place}/offsets", f"{self.place}/table"
+        self.columns: str | None = None
 
-    def put(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{batch}")
-        self.last = batch
+    def start(self, **trigger):
+        """The running query; the trigger is all that is there now unless another is given."""
+        log.registered(self.spark)
+        with keyed.rocksdb(self.spark):
+            out = self.make()
+            self.columns = log.ddl(out)
+            writer = out.writeStream.option("checkpointLocation", self.checkpoint).trigger(**(trigger or {"availableNow": True}))
+            if self.update:
+                table = self.table
+                return writer.outputMode("update").foreachBatch(lambda batch, nr: log.put(batch, table, nr)).start()
+            return writer.outputMode("append").format("batch_table").option("path", self.table).start()
 
+    def run(self) -> None:
+        """All that is there now."""
+        self.start().awaitTermination()
 
-def run(stream: DataFrame, step: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """All that is there now, micro-batch by micro-batch."""
-    place = f"{kept_dir(stream.sparkSession)}/quarry-offsets-{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    def rows(self) -> DataFrame:
+        """What the batches so far have written, with the number of their batch."""
+        return log.got(self.spark, self.table, f"{self.columns}, batch long")
 
+    def latest(self, *keys: str) -> DataFrame:
+        """The last row that was written for each key."""
+        rows = self.rows()
+        own = [c for c in rows.columns if c != "batch"]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*own), "batch").alias("__row")).select("__row.*")
 
-def collected(stream: DataFrame) -> DataFrame:
-    """What a stream appends, as a table."""
-    spark, place = stream.sparkSession, f"{kept_dir(stream.sparkSession)}/quarry-out-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/offsets").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
+def run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """step for each micro-batch of all that is there now; it may be called again with the same number and must then do the same."""
+    stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-def new_content(stream: DataFrame) -> DataFrame:
-    """Rows (item_id, stage, content_hash, ...) whose hash is not the one stored for their item and stage, over all batches."""
-    spark = stream.sparkSession
-    seen, out = State(spark, "item_id long, stage string, content_hash string"), State(spark, stream.schema.simpleString()[7:-1].replace(":", " "))
-
-    def step(batch: DataFrame, nr: int) -> None:
-        before, done = seen.get(), out.get()
-        fresh = batch.dropDuplicates(["item_id", "stage", "content_hash"]).join(before, ["item_id", "stage", "content_hash"], "left_anti").select(*batch.columns)
-        out.put(done.unionByName(fresh), nr)
-        seen.put(before.unionByName(batch.select("item_id", "stage", "content_hash")).distinct(), nr)
 
-    run(stream, step)
-    return out.get()
+def new_content(stream: DataFrame) -> DataFrame:
+    """Rows (item_id, stage, content_hash, ...) whose hash has not come before for their item and stage; state is one entry each."""
+    return stream.dropDuplicates(["item_id", "stage", "content_hash"])
 
 
 def changes_applied(stream: DataFrame, key: str = "entity_id", order: str = "offset") -> DataFrame:
-    """The table that create, update and delete events (action, key, offset, ...) leave, whatever batches they come in: deletions are kept as marks."""
-    spark = stream.sparkSession
-    state = State(spark, stream.schema.simpleString()[7:-1].replace(":", " "))
-
-    def step(batch: DataFrame, nr: int) -> None:
-        known = batch.where(F.col("action").isin("create", "update", "delete"))
-        state.put(upserts.latest(state.get().unionByName(known), [key], [order]).select(*batch.columns), nr)
-
-    run(stream, step)
-    return state.get().where("action <> 'delete'")
-
+    """The last create, update or delete event of each key, whatever batches they come in; for an update job.  Deletions stay as marks."""
+    known = stream.where(F.col("action").isin("create", "update", "delete"))
+    return known.groupBy(key).agg(F.max(F.struct(order, *[c for c in stream.columns if c not in (key, order)])).alias("last")).select(key, "last.*")
 
-def completions(stream: DataFrame, key: str = "ingestion_id") -> DataFrame:
-    """(key, batch) of each run once, when all that was produced (produced, received, finalised) has been received."""
-    spark = stream.sparkSession
-    kind = stream.schema[key].dataType.simpleString()
-    counters, out = State(spark, f"{key} {kind}, produced long, received long, finalised boolean"), State(spark, f"{key} {kind}, batch long")
 
-    def step(batch: DataFrame, nr: int) -> None:
-        both = counters.get().unionByName(batch.select(key, F.col("produced").cast("long").alias("produced"), F.col("received").cast("long").alias("received"), "finalised"))
-        now = both.groupBy(key).agg(F.sum("produced").alias("produced"), F.sum("received").alias("received"), F.bool_or("finalised").alias("finalised"))
-        done = out.get()
-        ready = now.where("finalised and received >= produced").select(key).join(done, key, "left_anti").select(key, F.lit(nr).cast("long").alias("batch"))
-        out.put(done.unionByName(ready), nr)
-        counters.put(now, nr)
+def last_by_window(stream: DataFrame, key: str, value: str, time: str, size: str, late: str = "1 minute") -> DataFrame:
+    """(start, key, value): the last value of each key in each tumbling window, for an update job; windows beyond the watermark leave the state."""
+    last = stream.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), key).agg(F.max(F.struct(time, value)).alias("last"))
+    return last.select(F.col("w.start").alias("start"), key, F.col(f"last.{value}").alias(value))
 
-    run(stream, step)
-    return out.get()
 
-
-def late_edges(stream: DataFrame) -> DataFrame:
-    """Edges (src, dst) of a stream of (kind node|edge, src, dst), each given out once the node it starts at is there, however late."""
-    spark = stream.sparkSession
-    nodes, waiting, out = State(spark, "src string"), State(spark, "src string, dst string"), State(spark, "src string, dst string")
-
-    def step(batch: DataFrame, nr: int) -> None:
-        known = nodes.get().unionByName(batch.where("kind = 'node'").select("src")).distinct()
-        edges = waiting.get().unionByName(batch.where("kind = 'edge'").select("src", "dst")).distinct()
-        done = out.get()
-        out.put(done.unionByName(edges.join(known, "src", "left_semi").join(done, ["src", "dst"], "left_anti")), nr)
-        waiting.put(edges.join(known, "src", "left_anti"), nr)
-        nodes.put(known, nr)
-
-    run(stream, step)
-    return out.get()
+def sized_batches(stream: DataFrame, lane: Column, size: int = 100, idle_ms: int = 500) -> DataFrame:
+    """(lane, part, rows): batches of ``size`` rows, or fewer once a lane had none for ``idle_ms``."""
+    return keyed.accumulated(stream.withColumn("lane", lane), ["lane"], size, idle_ms)
 
 
 def deletes_first(target: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
@@ -147,36 +124,6 @@ def once_within(stream: DataFrame, key: str, time: str, ttl: str) -> DataFrame:
     return named.unionByName(stream.where(F.col(key).isNull()).withWatermark(time, ttl))
 
 
-def last_by_window(stream: DataFrame, key: str, value: str, time: str, size: str) -> DataFrame:
-    """(start, key, value): the last value of each key in each tumbling window, as updates merged into a table."""
-    spark = stream.sparkSession
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    last = stream.withWatermark(time, "1 minute").groupBy(F.window(time, size).alias("w"), key).agg(F.max(F.struct(time, value)).alias("last"))
-    last = last.select(F.col("w.start").alias("start"), key, F.col(f"last.{value}").alias(value))
-    state = State(spark, f"start timestamp, {key} {kinds[key]}, {value} {kinds[value]}")
-    run(last, lambda batch, nr: state.put(state.get().join(batch.select("start", key), ["start", key], "left_anti").unionByName(batch), nr), "update")
-    return state.get()
-
-
-def full_groups(stream: DataFrame, key: str, order: str, size: int) -> DataFrame:
-    """(key, part, items): groups of ``size`` items of a key as soon as a batch fills them, and what is left at the end."""
-    spark = stream.sparkSession
-    cols = stream.schema.simpleString()[7:-1].replace(":", " ")
-    kind = stream.schema[key].dataType.simpleString()
-    waiting, out = State(spark, cols), State(spark, f"{key} {kind}, part string, items long")
-
-    def step(batch: DataFrame, nr: int) -> None:
-        w = Window.partitionBy(key)
-        rows = waiting.get().unionByName(batch).withColumn("__at", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count("*").over(w))
-        full = rows.where(F.col("__at") < F.col("__n") - F.col("__n") % size)
-        fired = full.groupBy(key, F.floor(F.col("__at") / size)).agg(F.count("*").alias("items")).select(key, F.lit("full").alias("part"), "items")
-        out.put(out.get().unionByName(fired), nr)
-        waiting.put(rows.where(F.col("__at") >= F.col("__n") - F.col("__n") % size).select(*batch.columns), nr)
-
-    run(stream, step)
-    return out.get().unionByName(waiting.get().groupBy(key).agg(F.count("*").alias("items")).select(key, F.lit("rest").alias("part"), "items"))
-
-
 def with_retries(rows: DataFrame, call: Callable, attempts: int = 3, base_s: float = 0.0) -> DataFrame:
     """rows (id, text) sent through ``call(text, attempt)`` with growing pauses: (id, attempts, result, error); rows that fail every time keep their last error."""
 
