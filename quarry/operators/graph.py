@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clusters import kept
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(node, rel, other, outgoing) in both directions."""
@@ -50,9 +52,31 @@ def scoped_delete(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: i
     return nodes.join(starts.select("id"), "id", "left_anti").join(gone.distinct(), ["id", "scope"], "left_anti")
 
 
-def descendants(spark, edges_view: str, roots_view: str) -> DataFrame:
-    """Unbounded tree descent by a recursive query over (src, dst)."""
-    return spark.sql(f"WITH RECURSIVE t(id, depth) AS (SELECT id, 0 FROM {roots_view} UNION ALL SELECT e.dst, t.depth + 1 FROM t JOIN {edges_view} e ON e.src = t.id) SELECT id, min(depth) AS depth FROM t GROUP BY id")
+def descendants(edges: DataFrame, roots: DataFrame, every: int = 8) -> DataFrame:
+    """(id, depth): roots at depth 0 and what they reach over edges (src, dst), at its least depth, however deep and with cycles.
+
+    Semi-naive: each round the frontier alone meets the edges, and only nodes that were not visited go on.  Rounds are written;
+    every few rounds the visited ones are written together, so no plan grows with the depth.
+    """
+    e = kept(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    front = kept(roots.where("id is not null").select("id").distinct().withColumn("depth", F.lit(0)))
+    visited, depth = [front], 0
+    while not front.isEmpty():
+        depth += 1
+        met = front.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        for v in visited:
+            met = met.join(v.select("id"), "id", "left_anti")
+        front = kept(met.withColumn("depth", F.lit(depth)))
+        visited.append(front)
+        if len(visited) > every:
+            whole = visited[0]
+            for v in visited[1:]:
+                whole = whole.unionByName(v)
+            visited = [kept(whole)]
+    out = visited[0]
+    for v in visited[1:]:
+        out = out.unionByName(v)
+    return out
 
 
 def induced(nodes: DataFrame, edges: DataFrame, in_set: Column) -> DataFrame:

@@ -70,9 +70,7 @@ def _(t):
 
 @op("JN11_descendants", f"WITH RECURSIVE {GRAPH_SQL}, t AS (SELECT id, 0 AS depth FROM nodes WHERE id = 'r1' UNION ALL SELECT src, depth + 1 FROM t JOIN edges ON dst = id WHERE rel <> 'supplied_by') SELECT id, min(depth) AS depth FROM t GROUP BY 1")
 def _(t):
-    t.edges().where("rel <> 'supplied_by'").select(F.col("dst").alias("src"), F.col("src").alias("dst")).createOrReplaceTempView("quarry_tree_edges")
-    _starts(t, "id = 'r1'").createOrReplaceTempView("quarry_tree_roots")
-    return graph.descendants(t.spark, "quarry_tree_edges", "quarry_tree_roots")
+    return graph.descendants(t.edges().where("rel <> 'supplied_by'").select(F.col("dst").alias("src"), F.col("src").alias("dst")), _starts(t, "id = 'r1'"))
 
 
 @op("JN13_code_with_fallback", "WITH a AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1), b AS (SELECT p_partkey AS l_partkey, CAST(0 AS BIGINT) AS l_suppkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM a)) SELECT * FROM a UNION ALL SELECT * FROM b")
@@ -110,6 +108,17 @@ def _(t):
     return graph.induced(t.nodes(), t.edges(), F.col("scope") == "n4")
 
 
+@op("JN26_induced_edges", f"WITH {GRAPH_SQL}, e AS MATERIALIZED (SELECT * FROM edges), c AS MATERIALIZED (SELECT DISTINCT id FROM nodes WHERE scope = 'n4'), k AS MATERIALIZED (SELECT id FROM c UNION SELECT dst FROM e JOIN c ON src = id UNION SELECT src FROM e JOIN c ON dst = id) SELECT e.src, e.rel, e.dst FROM e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst")
+def _(t):
+    return graph.induced(t.nodes(), t.edges(), F.col("scope") == "n4")
+
+
+@op("JN11_descendants_cyclic", "WITH RECURSIVE g AS (SELECT o_orderkey AS src, (o_orderkey * 7 + o_custkey) % 1500 AS dst FROM orders), r AS (SELECT CAST(1 AS BIGINT) AS id UNION SELECT CAST(dst AS BIGINT) FROM r JOIN g ON src = id) SELECT id FROM r")
+def _(t):
+    g = t.orders.select(F.col("o_orderkey").alias("src"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 1500).alias("dst"))
+    return graph.descendants(g, t.spark.range(1, 2).select("id")).select("id")
+
+
 @op("JN27_bounded_projection", f"WITH {GRAPH_SQL}, h AS (SELECT 's' || vec_id AS id FROM embeddings WHERE label = 1 UNION ALL SELECT 'p' || vec_id FROM embeddings WHERE label = 1) SELECT src, rel, dst FROM edges WHERE src IN (SELECT id FROM h) AND dst IN (SELECT id FROM h)")
 def _(t):
     e = t.embeddings.where("label = 1")

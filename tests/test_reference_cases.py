@@ -66,12 +66,12 @@ def test_query_guard(spark):
     queries = ["MATCH (n) RETURN n", "match (n:A) WHERE n.x = 1 RETURN n", "MATCH (a) OPTIONAL MATCH (b)-[:x]->(c) WHERE b.y RETURN a", "MATCH (n {company_id: 1}) RETURN n", "RETURN 1", "MATCH (n) WITH n MATCH (m)"]
     rows = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "i int, q string").select("i", guard.scoped(F.col("q")).alias("s")).orderBy("i").collect()
     assert [r.s.q for r in rows] == [
-        "MATCH (n)  WHERE n.company_id = $company_id RETURN n",
-        "match (n:A) WHERE n.x = 1  AND n.company_id = $company_idRETURN n",
-        "MATCH (a)  WHERE a.company_id = $company_id OPTIONAL MATCH (b)-[:x]->(c) WHERE b.y  AND b.company_id = $company_idRETURN a",
+        "MATCH (n) WHERE n.company_id = $company_id RETURN n",
+        "match (n:A) WHERE ( n.x = 1) AND n.company_id = $company_id RETURN n",
+        "MATCH (a) WHERE a.company_id = $company_id OPTIONAL MATCH (b)-[:x]->(c) WHERE ( b.y) AND b.company_id = $company_id AND c.company_id = $company_id RETURN a",
         None,
         None,
-        "MATCH (n)  WHERE n.company_id = $company_id WITH n MATCH (m) WHERE m.company_id = $company_id ",
+        "MATCH (n) WHERE n.company_id = $company_id WITH n MATCH (m) WHERE m.company_id = $company_id",
     ]
     assert [r.s.error is None for r in rows] == [True, True, True, False, False, True]
     ok = lambda q: spark.range(1).select(guard.error(F.lit(q))).first()[0]
