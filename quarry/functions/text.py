@@ -6,10 +6,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values ---
-ACRONYMS = ("ai", "api", "soap", "prro", "http", "https", "sql", "url", "ui", "sdk", "cli", "rest", "json", "xml", "css", "html", "js", "ts", "db")
+# suffixes of the older name queries; the exact lists are those of canonical.py
 CORPORATE_SUFFIXES = ("corporation", "corp", "inc", "incorporated", "llc", "ltd", "limited", "company", "co", "gmbh", "plc")
 TIER_SUFFIXES = ("go", "pro", "lite", "plus", "enterprise", "premium", "basic", "standard", "express")
+
+# --- fixed values ---
+ACRONYMS = ("ai", "api", "soap", "prro", "http", "https", "sql", "url", "ui", "sdk", "cli", "rest", "json", "xml", "css", "html", "js", "ts", "db")
 EXPANSION_STOP_WORDS = ("a", "an", "the", "and", "or", "to", "for", "of", "in", "on", "with", "via", "using", "by")
 MIME_BY_SUFFIX = ((".py", "text/x-python"), (".js", "text/javascript"), (".ts", "text/typescript"), (".tsx", "text/typescript-jsx"), (".jsx", "text/javascript-jsx"), (".json", "application/json"), (".html", "text/html"), (".css", "text/css"), (".md", "text/markdown"), (".yaml", "text/yaml"), (".yml", "text/yaml"), (".xml", "text/xml"), (".sql", "text/x-sql"), (".sh", "text/x-shellscript"), (".rb", "text/x-ruby"), (".java", "text/x-java"), (".go", "text/x-go"), (".rs", "text/x-rust"), (".swift", "text/x-swift"), (".kt", "text/x-kotlin"), (".c", "text/x-c"), (".cpp", "text/x-c++"), (".h", "text/x-c-header"), (".vue", "text/x-vue"), (".svelte", "text/x-svelte"))
 #: The first 14 are those of the graph context, which looks them up by the lower-case extension.
