@@ -111,20 +111,31 @@ def terms_of(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 class Index:
-    """postings (term, block, docs) and frequencies (term, df), written."""
+    """postings (term, block, docs: sorted places in the block), frequencies (term, df) and names (block, place, doc), written."""
 
     def __init__(self, postings: DataFrame, frequencies: DataFrame, names: DataFrame):
         self.postings, self.frequencies, self.names = postings, frequencies, names
 
 
 def indexed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> Index:
-    """The index of docs; rows are numbered where they lie, and rows without words are in no list."""
-    rows = kept(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc"), F.col(text).alias("text")))
+    """The index of docs; rows are numbered where they lie, and rows without words are in no list.
+
+    Texts are read once: the places of a word in a block are put together before they are shuffled, and words are stemmed
+    and joined back as lists of places, one row a word and block.  The entry without a word holds the documents' ids.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc"), words_of(F.col(text)).alias("words"))
     # partitions hold rows side by side, so a block is a run of rows of one partition
-    terms = terms_of(rows, "row", "text").withColumn("block", F.expr(f"key div {block}"))
-    postings = kept(terms.groupBy("term", "block").agg(F.array_sort(F.collect_list("key")).alias("docs")))
+    place = (F.col("row") % block).cast("int").alias("place")
+    each = rows.select(F.expr(f"row div {block}").alias("block"), place, "doc", F.explode(F.concat(F.array(F.lit("")), "words")).alias("word"))
+    named = F.when(F.col("word") == "", F.struct("place", "doc"))
+    lists = kept(each.groupBy("word", "block").agg(F.collect_list("place").alias("places"), F.collect_list(named).alias("named")))
+    words = lists.where("word <> ''").select("word", "block", "places")
+    known = stems(words.select("word").distinct())
+    one = F.array_sort(F.array_distinct(F.flatten(F.collect_list("places"))))
+    postings = kept(words.join(known, "word").groupBy(F.col("stem").alias("term"), "block").agg(one.alias("docs")))
     frequencies = kept(postings.groupBy("term").agg(F.sum(F.size("docs")).alias("df")))
-    return Index(postings, frequencies, rows.select("row", "doc"))
+    names = lists.where("word = ''").select("block", F.inline("named"))
+    return Index(postings, frequencies, names)
 
 
 def all_terms(index: Index, queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -139,7 +150,7 @@ def all_terms(index: Index, queries: DataFrame, query_id: str, text: str) -> Dat
     lists = first.select("query", "block", "docs", "n").unionByName(others.withColumn("n", F.lit(None).cast("long")))
     met = lists.groupBy("query", "block").agg(F.array_sort(F.collect_list(F.struct(F.size("docs").alias("size"), "docs"))).alias("lists"), F.max("n").alias("n")).where("size(lists) = n")
     both = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.get("lists", F.lit(0))["docs"], lambda acc, x: F.array_intersect(acc, x["docs"]))
-    return met.select("query", F.explode(both).alias("row")).join(index.names, "row").select("query", "doc")
+    return met.select("query", "block", F.explode(both).alias("place")).join(index.names, ["block", "place"]).select("query", "doc")
 
 
 def scanned(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text") -> DataFrame:
