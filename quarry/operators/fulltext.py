@@ -1,6 +1,6 @@
 """Stemmed full text: an inverted index that answers conjunctive queries without reading texts.
 
-Words are stemmed by Porter's rules (1980), a fold of steps over the table of *distinct* words.  The index holds for
+Words are stemmed by Porter's rules (1980), a fold of steps over the *distinct* words of a block.  The index holds for
 each term and block of documents the sorted places of its documents, so no posting list grows with the table.  A query takes
 the blocks of its rarest term, then asks for its other terms in these blocks only, and intersects the lists of a block from
 the shortest on; all steps are equi-joins on (term, block).
@@ -70,7 +70,7 @@ def _repaired(w: Column) -> Column:
 
 
 def stems(words: DataFrame, word: str = "word") -> DataFrame:
-    """words with ``stem``; meant for distinct words.  Words of one or two letters, or with digits, stay."""
+    """words with ``stem``; meant for distinct words, of a table or of a block.  Words of one or two letters, or with digits, stay."""
     def first(w: Column) -> Column:
         return F.when(w.rlike("(sses|ies)$"), _cut(w, 2)).when(w.rlike("ss$"), w).when(w.rlike("s$"), _cut(w, 1)).otherwise(w)
 
@@ -120,8 +120,8 @@ class Index:
 def indexed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> Index:
     """The index of docs; rows are numbered where they lie, and rows without words are in no list.
 
-    Texts are read once: the places of a word in a block are put together before they are shuffled, and words are stemmed
-    and joined back as lists of places, one row a word and block.  The entry without a word holds the documents' ids.
+    Texts are read once: the places of a word in a block are put together before they are shuffled, and a word is stemmed
+    once a block, where its list lies.  The entry without a word holds the documents' ids.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc"), words_of(F.col(text)).alias("words"))
     # partitions hold rows side by side, so a block is a run of rows of one partition
@@ -129,10 +129,9 @@ def indexed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
     each = rows.select(F.expr(f"row div {block}").alias("block"), place, "doc", F.explode(F.concat(F.array(F.lit("")), "words")).alias("word"))
     named = F.when(F.col("word") == "", F.struct("place", "doc"))
     lists = kept(each.groupBy("word", "block").agg(F.collect_list("place").alias("places"), F.collect_list(named).alias("named")))
-    words = lists.where("word <> ''").select("word", "block", "places")
-    known = stems(words.select("word").distinct())
+    known = stems(lists.where("word <> ''"))
     one = F.array_sort(F.array_distinct(F.flatten(F.collect_list("places"))))
-    postings = kept(words.join(known, "word").groupBy(F.col("stem").alias("term"), "block").agg(one.alias("docs")))
+    postings = kept(known.groupBy(F.col("stem").alias("term"), "block").agg(one.alias("docs")))
     frequencies = kept(postings.groupBy("term").agg(F.sum(F.size("docs")).alias("df")))
     names = lists.where("word = ''").select("block", F.inline("named"))
     return Index(postings, frequencies, names)
