@@ -170,3 +170,14 @@ def triplet_text(src: Column, rel: Column, dst: Column) -> Column:
 
 def size_label(lines: Column) -> Column:
     return F.when(lines < 100, "S").when(lines < 500, "M").otherwise("L")
+
+
+def scope_key(company: Column, scope: Column) -> Column:
+    """The node set that a scope names: ``knowledge`` that of a company, ``code:project:name`` that of a project's code.
+
+    Null (no filter) for any other scope, null and empty included, for ``knowledge`` without a company and for ``code:`` with
+    an empty project or name; the name may hold colons.
+    """
+    project, name = (F.regexp_extract(scope, r"(?s)\Acode:([^:]*):(.*)\z", i) for i in (1, 2))
+    known = F.when((scope == "knowledge") & (company != ""), F.concat(company, F.lit("_knowledge")))
+    return known.when((project != "") & (name != ""), F.concat_ws("_", project, name, F.lit("code")))

@@ -61,3 +61,30 @@ def moved_tenant(rows: DataFrame, key: str, old, new) -> DataFrame:
     """rows with the tenant ``old`` rewritten to ``new``, and whether a row moved."""
     moves = F.coalesce(F.col(key) == old, F.lit(False))
     return rows.withColumn("moved", moves).withColumn(key, F.when(F.col("moved"), F.lit(new)).otherwise(F.col(key)))
+
+
+def orphans(mentions: DataFrame, alive: DataFrame) -> DataFrame:
+    """(entity, chunks): entities of mentions (entity, chunk) none of whose chunks is alive, with how many mentions they lose.
+
+    A chunk that is null or of no table counts as deleted; a mention without entity is of none.
+    """
+    living = alive.select("chunk").where("chunk is not null").distinct().withColumn("__alive", F.lit(True))
+    found = mentions.where("entity is not null").join(living, "chunk", "left")
+    return found.groupBy("entity").agg(F.count("*").alias("chunks"), F.count("__alive").alias("__n")).where("__n = 0").select("entity", "chunks")
+
+
+def integrity(mentions: DataFrame, chunks: DataFrame, typed: DataFrame) -> DataFrame:
+    """(finding, id): entities without a chunk that exists, entities without a type, chunks without an entity.
+
+    mentions (entity, chunk), chunks (chunk), typed (entity).  Each finding once; null ids are none.
+    ids keep their type where entities and chunks have the same, and are strings otherwise.
+    """
+    met = mentions.where("entity is not null").select("entity", "chunk").distinct()
+    chunks = chunks.where("chunk is not null").select("chunk").distinct()
+    entities = met.select("entity").distinct()
+    same = met.schema["entity"].dataType == chunks.schema["chunk"].dataType
+    said = lambda df, what, key: df.select(F.lit(what).alias("finding"), (F.col(key) if same else F.col(key).cast("string")).alias("id"))
+    held = met.join(chunks, "chunk", "left_semi").select("entity")
+    out = said(entities.join(held, "entity", "left_anti"), "orphan_entity", "entity")
+    out = out.unionByName(said(entities.join(typed, "entity", "left_anti"), "untyped_entity", "entity"))
+    return out.unionByName(said(chunks.join(met, "chunk", "left_anti"), "empty_chunk", "chunk"))
