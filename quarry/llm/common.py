@@ -98,11 +98,11 @@ def lean() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """df written as Parquet in the shared folder and read again, and where it lies: cuts lineage at the cost of one run (checkpoint() runs its plan twice)."""
+def written(df: DataFrame, **options) -> tuple[DataFrame, str]:
+    """df written as Parquet (options: the writer's) in the shared folder and read again, and where it lies: cuts lineage at the cost of one run (checkpoint() runs its plan twice)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

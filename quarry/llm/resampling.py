@@ -3,7 +3,8 @@ r"""Importance resampling towards a target distribution, over a document-by-buck
 Method: the words of a whole text give features, all runs of 1 to ``max_words`` consecutive words, and each feature's
 CRC-32 names one of ``buckets`` columns.  Documents become CSR blocks (ids, row pointers, column numbers, counts), a
 sparse matrix that is persisted once as Parquet in the shared folder; a row holds at most ``buckets`` entries, however long
-its text.  Column sums of the documents' and of the target's matrix give the two distributions and with them a gain per
+its text.  Numbers and counts are packed into bytes and row groups are small, so that reading a block again takes no more
+memory for a task that wrote many of them.  Column sums of the documents' and of the target's matrix give the two distributions and with them a gain per
 column; the product of the matrix with the vector of gains gives each document's weight.  Weights plus Gumbel noise from a
 digest of the id are drawn without replacement, highest first.
 
@@ -36,8 +37,10 @@ BUCKETS = 10_000
 MAX_WORDS = 2
 SEED = 7
 PERCENT, MIN_WORDS = 25, 20
-#: Bytes of text hashed at a time; entries and documents that close a block; steps before long words are finished one by one.
-CHUNK, BLOCK_ENTRIES, BLOCK_ROWS, STEPS = 1 << 19, 1 << 16, 4096, 48
+#: Bytes of text hashed at a time; entries (unless a single document has more) and documents of a block at most; steps before long words are finished one by one.
+CHUNK, BLOCK_ENTRIES, BLOCK_ROWS, STEPS = 1 << 19, 1 << 13, 4096, 48
+#: Blocks and bytes of a Parquet row group, at most about: what a task holds of it while it writes or reads.
+GROUPS = {"parquet.block.row.count.limit": 128, "parquet.block.size": 1 << 23}
 
 
 @lru_cache(1)
@@ -138,25 +141,28 @@ def _blocks(buckets: int, max_words: int, chunk: int):
         import numpy as np
 
         lean()
-        held: list[tuple] = []
 
-        def block() -> pa.RecordBatch:
-            ids = pa.concat_arrays([h[0] for h in held])
-            one = lambda i, t: pa.array([np.concatenate([h[i] for h in held])], pa.list_(t))
-            ends = pa.array([np.concatenate([[0], np.cumsum(np.concatenate([h[3] for h in held]))])], pa.list_(pa.int32()))
-            whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([whole, one(1, pa.int64()), one(2, pa.int64()), ends, one(4, pa.int32()), one(5, pa.int32())], names=names)
-
-        def taken(ids: pa.Array, data, cuts) -> None:
+        def blocks(ids: pa.Array, words, n, entries, columns, counts) -> pa.RecordBatch:
+            """The rows of one chunk as blocks; entries: of each row."""
+            ends, cuts = np.concatenate([[0], np.cumsum(entries)]), [0]
+            while cuts[-1] < len(ids):
+                to = int(np.searchsorted(ends, ends[cuts[-1]] + BLOCK_ENTRIES, side="right")) - 1
+                cuts.append(max(to, cuts[-1] + 1))
+            spans = list(zip(cuts, cuts[1:]))
+            whole = lambda values: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+            packed = lambda x: pa.array([(y := x[ends[i] : ends[j]]).astype(np.min_scalar_type(y.max(initial=0))).tobytes() for i, j in spans], pa.binary())
+            pointers = pa.array([ends[i : j + 1] - ends[i] for i, j in spans], pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([whole(ids), whole(pa.array(words, pa.int64())), whole(pa.array(n, pa.int64())), pointers, packed(columns), packed(counts)], names=names)
+
+        def taken(ids: pa.Array, data, cuts) -> pa.RecordBatch:
             if len(data) > chunk and len(cuts) == 2:
                 counts, n, w = _long_row(data, buckets, max_words, chunk)
                 columns = np.flatnonzero(counts)
-                held.append((ids, [w], [n], [len(columns)], columns, counts[columns]))
-                return
+                return blocks(ids, [w], [n], [len(columns)], columns, counts[columns])
             rows, found, words, _ = features(data, cuts, buckets, max_words)
             key, counts = np.unique(rows * buckets + found, return_counts=True)
             m = len(cuts) - 1
-            held.append((ids, words, np.bincount(rows, minlength=m), np.bincount(key // buckets, minlength=m), key % buckets, counts))
+            return blocks(ids, words, np.bincount(rows, minlength=m), np.bincount(key // buckets, minlength=m), key % buckets, counts)
 
         for b in batches:
             texts = b.column(1).cast(pa.large_binary())
@@ -167,24 +173,28 @@ def _blocks(buckets: int, max_words: int, chunk: int):
             while at < len(b):
                 to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + chunk, side="right")) - 1)
                 to = min(to, len(b), at + BLOCK_ROWS)
-                taken(b.column(0).slice(at, to - at), data[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at])
+                yield taken(b.column(0).slice(at, to - at), data[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at])
                 at = to
-                if sum(len(h[4]) for h in held) >= BLOCK_ENTRIES or sum(len(h[0]) for h in held) >= BLOCK_ROWS:
-                    yield block()
-                    held = []
-        if held:
-            yield block()
 
     return run
 
 
+def unpacked(b: pa.RecordBatch, i: int):
+    """Row pointers, column numbers and counts of block i; a number has as many bytes as the largest of its block needs."""
+    import numpy as np
+
+    ends = b.column("indptr")[i].values.to_numpy()
+    n = int(ends[-1])
+    return (ends, *(np.frombuffer(b.column(c)[i].as_buffer(), f"<u{b.column(c)[i].as_buffer().size // n}").astype(np.int64) if n else np.zeros(0, np.int64) for c in ("columns", "counts")))
+
+
 def count_matrix(docs: DataFrame, text: str = "text", doc_id: str | None = "doc_id", buckets: int = BUCKETS, max_words: int = MAX_WORDS, chunk: int = CHUNK) -> DataFrame:
-    """CSR blocks of docs: (ids, n_words, n_features, indptr, columns, counts), one row a block of at most about BLOCK_ENTRIES entries."""
+    """CSR blocks of docs: (ids, n_words, n_features, indptr, columns, counts), one row a block; columns and counts are packed (unpacked())."""
     key = F.col(f"`{doc_id}`") if doc_id else F.lit(None).cast("long")
     rows = docs.select(key.alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    longs = T.ArrayType(T.LongType())
     kind = rows.schema["id"].dataType
-    schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("n_words", longs), T.StructField("n_features", longs), *[T.StructField(c, ints) for c in ("indptr", "columns", "counts")]])
+    schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("n_words", longs), T.StructField("n_features", longs), T.StructField("indptr", T.ArrayType(T.IntegerType())), *[T.StructField(c, T.BinaryType()) for c in ("columns", "counts")]])
     return rows.mapInArrow(_blocks(buckets, max_words, chunk), schema)
 
 
@@ -196,7 +206,7 @@ def _summed(buckets: int):
         total = np.zeros(buckets, np.int64)
         for b in batches:
             for i in range(len(b)):  # a block at a time
-                np.add.at(total, b.column(0)[i].values.to_numpy(), b.column(1)[i].values.to_numpy())
+                np.add.at(total, *unpacked(b, i)[1:])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["column", "n"])
 
@@ -205,7 +215,7 @@ def _summed(buckets: int):
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(column, n): how often each column occurs in the matrix; at most ``buckets`` rows."""
-    return blocks.select("columns", "counts").mapInArrow(_summed(buckets), "column int, n long").groupBy("column").agg(F.sum("n").alias("n"))
+    return blocks.select("indptr", "columns", "counts").mapInArrow(_summed(buckets), "column int, n long").groupBy("column").agg(F.sum("n").alias("n"))
 
 
 def gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS):
@@ -225,11 +235,12 @@ def _weighed(gain):
 
         lean()
         for b in batches:
+            totals = [np.zeros(0, np.int64)]
             for i in range(len(b)):  # a block at a time
-                ids, words, n, ends, columns, counts = (b.column(k)[i].values for k in range(6))
-                product = gain[columns.to_numpy()] * counts.to_numpy().astype(np.int64)
-                total = np.diff(np.concatenate([[0], np.cumsum(product)])[ends.to_numpy()])
-                yield pa.RecordBatch.from_arrays([ids, words, n, pa.array(total // np.maximum(n.to_numpy(), 1), pa.int64())], names=["id", "n_words", "n_features", "weight"])
+                ends, columns, counts = unpacked(b, i)
+                totals.append(np.diff(np.concatenate([[0], np.cumsum(gain[columns] * counts)])[ends]))
+            ids, words, n = (b.column(c).flatten() for c in ("ids", "n_words", "n_features"))
+            yield pa.RecordBatch.from_arrays([ids, words, n, pa.array(np.concatenate(totals) // np.maximum(n.to_numpy(), 1), pa.int64())], names=["id", "n_words", "n_features", "weight"])
 
     return run
 
@@ -265,7 +276,7 @@ def resample(
 ) -> DataFrame:
     """(id, n_words, n_features, weight, score, rank) of every document; rank is null where a document is not drawn."""
     with arrow_batches(docs.sparkSession):
-        blocks, _ = written(count_matrix(docs, text, doc_id, buckets, max_words, chunk))
+        blocks, _ = written(count_matrix(docs, text, doc_id, buckets, max_words, chunk), **GROUPS)
         wanted = count_matrix(target, target_text, None, buckets, max_words, chunk)
         gain = gains(column_sums(blocks, buckets), column_sums(wanted, buckets), buckets)
         scored, _ = written(weights(blocks, gain).withColumn("score", F.col("weight") + noise(F.col("id"), seed)).withColumn("at", F.monotonically_increasing_id()))

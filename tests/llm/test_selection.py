@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,40 @@ def test_resampling_against_brute_force(spark, chunk):
     assert sorted((tuple(r) for r in got), key=repr) == sorted(brute_resample(docs, target), key=repr)
 
 
+def test_resampling_blocks_stay_small(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(11)
+    docs = [(i, " ".join(f"{rng.getrandbits(20):x}" for _ in range(rng.choice([0, 5, 400, 9000])))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    paths = []
+    monkeypatch.setattr(resampling, "written", lambda d, f=resampling.written, **options: paths.append((out := f(d, **options))[1]) or out)
+    got = resampling.resample(df, spark.createDataFrame([("a b",)], "text string")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(brute_resample(docs, ["a b"]), key=repr)
+    files = list(Path(paths[0].removeprefix("file:")).glob("*.parquet"))
+    blocks = [r for f in files for r in pq.read_table(f, columns=["ids", "indptr"]).to_pylist()]
+    assert sorted(i for r in blocks for i in r["ids"]) == list(range(400))
+    # a row of the matrix is a few thousand entries, or one document; a task that has written many holds few of them at once
+    assert max(r["indptr"][-1] for r in blocks if len(r["ids"]) > 1) <= 1 << 13 and max(r["indptr"][-1] for r in blocks) <= 10_000
+    groups = [m.row_group(i) for f in files for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert len(groups) > 1 and max(g.total_byte_size for g in groups) < 8 << 20
+
+
+def test_resampling_counts_of_any_width(spark):
+    docs = [(1, "a " * 70_000), (2, "a " * 300), (3, "a"), (4, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    for buckets in (1, 200, 60_000, 100_000):
+        rows = {r.id: r for r in resampling.resample(df, df.where("doc_id = 3"), min_words=1, percent=100, buckets=buckets).collect()}
+        s, t = Counter(), Counter()
+        for i, text in docs:
+            for c, k in brute_features(text, buckets)[1].items():
+                s[c], t[c] = s[c] + k, t[c] + k * (i == 3)
+        gain = {c: math.floor(1000 * math.log((t[c] + 1) * (s.total() + buckets) / ((s[c] + 1) * (t.total() + buckets)))) for c in s}
+        for i, text in docs:
+            own = brute_features(text, buckets)[1]
+            assert (rows[i].n_features, rows[i].weight) == (own.total(), sum(gain[c] * k for c, k in own.items()) // max(own.total(), 1))
+
+
 def test_resampling_of_nothing(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string, source string").withColumn("a.b", F.lit("own")).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
     none = spark.createDataFrame([], "text string")
