@@ -1,33 +1,38 @@
 """Exact top-k by integer inner product: ball-tree branch and bound per shard.
 
 Method: candidates are dealt by a hash of their id over shards of about SHARD_ROWS rows; each shard becomes one ball tree
-(one task, bounded memory).  Queries are packed in blocks and meet every tree, block by shard, in an equi-join on the shard
-number: blocks travel to the trees, each tree is shuffled once.  A query orders a tree's nodes by their bound q.c + |q| r on
-the inner product, opens the highest first and stops where the bound falls below its current kth score.  That kth score is
-shared: a first pass over one tree, another one for every block in turn, gives each query its first threshold, and a task
-hands the thresholds on from tree to tree of the same block.
+(one task, bounded memory).  Queries are packed in blocks.  A block opens a tree's leaves by their bound q.c + |q| r on the
+inner product, the highest first, and leaves out those below the kth score so far of each of its queries, as it does what
+lies below a node that is left out; the leaves that are opened together are one product of matrices.
+
+Trees meet blocks in waves, of which each takes WAVE times as many trees as all before it: the kth scores of the waves before
+are what a candidate must reach, so about WAVE * k candidates a query come out of a wave, however many trees it has.  In a
+wave groups of trees and groups of blocks, both bounded, are dealt to cells by a cogroup on both group numbers; so neither
+side is broadcast, and what is shuffled is each side once for each group of the other.
 
 Defined results: components become floor(scale * x) in whole numbers; vectors that are null, empty or hold a null or
 non-finite component take no part; vectors meet only vectors of the same length; rows that share the query's id are its own
 and no candidates; of queries that share an id the smallest vector asks; every repeated candidate row counts; ties go to the
-smaller id; empty tables give none; other columns are ignored.  Exact as long as scores fit in 63 bits.
+smaller id; empty tables give none; other columns are ignored.  Exact as long as scores fit in 63 bits: products are taken in
+floating point only where |q| |c|, and with it every partial sum, is a whole number that the type holds.
 """
 
 from __future__ import annotations
 
-import heapq
 import pickle
-from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import QUERY_ROWS, SHARD_ROWS, best, lane, queries_of, shards_for, usable
-from .common import table, written
+from .common import lean, table, written
 
 LEAF = 128
 SCALE = 1024
 TOP = 10
+#: Growth of the waves; trees and blocks of a cell at most; cells that a wave should have at least, if trees and blocks allow; leaves opened together; candidates kept before they are sorted.
+WAVE, CELL_TREES, CELL_BLOCKS, CELLS, TOGETHER, PENDING = 16, 8, 128, 64, 8, 1 << 16
 
 
 def build(ids, vecs) -> dict:
@@ -53,121 +58,188 @@ def build(ids, vecs) -> dict:
         return at
 
     node(0, len(ids))
-    return {"ids": ids[rows], "vecs": vecs[rows], "centre": np.array(centre), "radius": np.array(radius), "span": span, "kids": kids}
+    return {"ids": ids[rows], "vecs": _narrow(vecs[rows]), "centre": np.array(centre), "radius": np.array(radius), "span": span, "kids": kids}
 
 
-def search(tree: dict, query_id: int, q, k: int, floor: int | None) -> list[tuple[int, int]]:
-    """The k best (score, id) of a tree, leaving out those below floor."""
+def _narrow(ints):
+    """The same whole numbers in as few bytes as they need."""
     import numpy as np
 
-    qf = q.astype(np.float64)
-    bound = tree["centre"] @ qf + np.sqrt((qf * qf).sum()) * tree["radius"]
-    bound = bound + 1e-9 * np.abs(bound) + 1e-6  # rounding may not hide a node
-    found: list[tuple[int, int]] = []  # a heap whose least is the kth: (score, -id)
-    heap = [(-bound[0], 0)]
-    while heap:
-        b, at = heapq.heappop(heap)
-        if floor is not None and -b < floor:
-            break
-        if tree["kids"][at]:
-            for kid in tree["kids"][at]:
-                if floor is None or bound[kid] >= floor:
-                    heapq.heappush(heap, (-bound[kid], kid))
-            continue
-        lo, hi = tree["span"][at]
-        scores, ids = tree["vecs"][lo:hi] @ q, tree["ids"][lo:hi]
-        fit = ids != query_id
-        if floor is not None:
-            fit &= scores >= floor
-        scores, ids = scores[fit], ids[fit]
-        if len(ids) > k:
-            top = np.lexsort((ids, -scores))[:k]
-            scores, ids = scores[top], ids[top]
-        for s, i in zip(scores.tolist(), ids.tolist()):
-            if len(found) < k:
-                heapq.heappush(found, (s, -i))
-            elif (s, -i) > found[0]:
-                heapq.heapreplace(found, (s, -i))
-        if len(found) == k and (floor is None or found[0][0] > floor):
-            floor = found[0][0]
-    return [(s, -i) for s, i in found]
-
-
-def _tree(pdf):
+    low, high = ints.min(initial=0), ints.max(initial=0)
+    return ints.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _longest(ints) -> float:
     import numpy as np
-    import pandas as pd
 
-    vecs = np.stack([np.asarray(v, np.int64) for v in pdf["ints"]])
-    return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(build(pdf["id"].to_numpy(np.int64), vecs))]})
+    return float(np.sqrt((ints.astype(np.float64) ** 2).sum(1).max(initial=0)))
 
 
-def _block(pdf):
+def _exact_in(longest: float):
+    """The fastest type in which sums of products up to this size are exact."""
     import numpy as np
-    import pandas as pd
-
-    pdf = pdf.sort_values("id")
-    return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "queries": [pickle.dumps((pdf["id"].tolist(), np.stack([np.asarray(v, np.int64) for v in pdf["ints"]])))]})
-
-
-def _searched(k: int):
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        shared: dict[tuple[int, int], int] = {}  # kth scores that this task knows
-        held, tree = None, None  # rows of one tree mostly follow each other
-        for pdf in batches:
-            for dim, shard, queries, floors, data in zip(pdf["dim"], pdf["shard"], pdf["queries"], pdf["floors"], pdf["tree"]):
-                if held != (dim, shard):
-                    held, tree = (dim, shard), pickle.loads(data)
-                ids, vecs = pickle.loads(queries)
-                first = dict(pickle.loads(floors)) if floors else {}
-                out = []
-                for i, q in zip(ids, vecs):
-                    floor = max((x for x in (first.get(i), shared.get((dim, i))) if x is not None), default=None)
-                    got = search(tree, i, q, k, floor)
-                    if len(got) == k:
-                        low = min(s for s, _ in got)
-                        shared[dim, i] = max(low, shared.get((dim, i), low))
-                    out += [(i, v, s) for s, v in got]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    return run
+    return np.float32 if longest * 1.001 < 2**24 else np.float64 if longest * 1.001 < 2**53 else np.int64
+
+
+class Held:
+    """The k best candidates so far of each query of a block, and what a further one must reach: the kth (score, id)."""
+
+    def __init__(self, ids, vecs, k: int, floors: dict[int, tuple[int, int]]):
+        import numpy as np
+
+        self.ids, self.vecs, self.k, self.longest = ids, vecs, k, _longest(vecs)
+        self.full = vecs.astype(np.float64)
+        self.norms = np.sqrt((self.full**2).sum(1))
+        self.has = np.array([i in floors for i in ids.tolist()], bool)
+        self.floor, self.edge = (np.array([floors.get(i, (0, 0))[n] for i in ids.tolist()], np.int64) for n in (0, 1))
+        self.kept, self.pending = [np.zeros(0, np.int64)] * 3, []
 
+    def add(self, row, score, vec_id) -> None:
+        fit = vec_id != self.ids[row]
+        fit &= ~self.has[row] | (score > self.floor[row]) | ((score == self.floor[row]) & (vec_id < self.edge[row]))
+        if fit.any():
+            self.pending.append((row[fit], score[fit], vec_id[fit]))
+        if sum(len(x[0]) for x in self.pending) > PENDING:
+            self.settle()
 
-def _floors(k: int):
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def settle(self) -> None:
+        import numpy as np
 
-        for pdf in batches:
-            out = []
-            for queries, tree in zip(pdf["queries"], pdf["tree"]):
-                if tree is None:  # no vectors of this length in that shard: these queries begin without a threshold
-                    out.append(None)
-                    continue
-                tree = pickle.loads(tree)
-                got = [(i, search(tree, i, q, k, None)) for i, q in zip(*pickle.loads(queries))]
-                out.append(pickle.dumps([(i, min(s for s, _ in x)) for i, x in got if len(x) == k]))
-            yield pd.DataFrame({"dim": pdf["dim"], "block": pdf["block"], "queries": pdf["queries"], "floors": out})
+        if not self.pending:
+            return
+        row, score, vec_id = (np.concatenate(x) for x in zip(self.kept, *self.pending))
+        order = np.lexsort((vec_id, -score, row))
+        row, score, vec_id = row[order], score[order], vec_id[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.k - 1
+        self.floor[row[last]], self.edge[row[last]], self.has[row[last]] = score[last], vec_id[last], True
+        top = place < self.k
+        self.kept, self.pending = [row[top], score[top], vec_id[top]], []
+
+
+def search(tree: dict, held: Held) -> None:
+    """Puts the candidates of a tree into held."""
+    import numpy as np
+
+    centre, radius = tree["centre"], tree["radius"]
+    far = np.sqrt((centre**2).sum(1)) + radius
+    # by node and query; rounding may not hide a node
+    bound = centre @ held.full.T + radius[:, None] * held.norms + 1e-9 * far[:, None] * held.norms + 1e-6
+    for at, kids in enumerate(tree["kids"]):
+        for kid in kids or ():
+            np.minimum(bound[kid], bound[at], out=bound[kid])
+    leaves = np.array([at for at, kids in enumerate(tree["kids"]) if not kids])
+    leaves = leaves[np.argsort(-bound[leaves].max(1), kind="stable")]
+    kind = _exact_in(held.longest * tree["longest"])
+    if kind not in tree["in"]:
+        tree["in"][kind] = tree["vecs"].astype(kind)
+    vecs = tree["in"][kind]
+    own = held.vecs.astype(kind)
+    for at in range(0, len(leaves), TOGETHER):
+        some = leaves[at : at + TOGETHER]
+        rows = np.flatnonzero(~held.has | (bound[some] >= held.floor).any(0))
+        if not len(rows):
+            continue
+        cols = np.concatenate([np.arange(*tree["span"][leaf]) for leaf in some])
+        scores, ids = own[rows] @ vecs[cols].T, tree["ids"][cols]
+        new = ~held.has[rows]
+        if new.any():  # without a kth score yet: the k best of these, and what ties with them
+            asked, got = rows[new], scores[new]
+            mine = ids == held.ids[asked][:, None]
+            got[mine] = np.iinfo(np.int64).min
+            hit = ~mine
+            if got.shape[1] > held.k:
+                hit &= got >= np.partition(got, -held.k, axis=1)[:, -held.k :][:, :1]
+            r, c = np.nonzero(hit)
+            held.add(asked[r], got[r, c].astype(np.int64), ids[c])
+            held.settle()
+        if not new.all():
+            asked, got = (rows, scores) if not new.any() else (rows[~new], scores[~new])
+            r, c = np.nonzero(got >= held.floor[asked].astype(kind)[:, None])
+            held.add(asked[r], got[r, c].astype(np.int64), ids[c])
+    held.settle()
+
+
+def _rows(t: pa.Table):
+    """ids and whole-number vectors of rows (id, ints) of one length."""
+    ids, ints = (t.column(c).combine_chunks() for c in ("id", "ints"))
+    return ids.to_numpy(), ints.flatten().to_numpy().reshape(len(ids), -1)
+
+
+def _tree(t: pa.Table) -> pa.Table:
+    lean()
+    return pa.table({"dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "tree": [pickle.dumps(build(*_rows(t)))]})
+
+
+def _block(t: pa.Table) -> pa.Table:
+    lean()
+    ids, vecs = _rows(t.sort_by("id"))
+    return pa.table({"dim": t.column("dim")[:1], "block": t.column("block")[:1], "queries": [pickle.dumps((ids, _narrow(vecs)))]})
+
+
+def _cell(k: int):
+    def run(blocks: pa.Table, trees: pa.Table) -> pa.Table:
+        import numpy as np
+
+        lean()
+        opened = []
+        for x in trees.column("tree"):
+            opened.append(tree := pickle.loads(x.as_buffer()))
+            tree |= {"longest": _longest(tree["vecs"]), "in": {}}
+        out = []
+        for queries, floors in zip(blocks.column("queries"), blocks.column("floors")):
+            held = Held(*pickle.loads(queries.as_buffer()), k, {f["query_id"]: (f["score"], f["vec_id"]) for f in floors.as_py() or ()})
+            for tree in opened:
+                search(tree, held)
+            row, score, vec_id = held.kept
+            out.append((held.ids[row], vec_id, score))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
 
     return run
 
 
+def _waves(shards: int) -> list[tuple[int, int]]:
+    """Ranges of shard numbers: the first, then WAVE times as many as before."""
+    cuts = [0, 1]
+    while cuts[-1] < shards:
+        cuts.append(min(cuts[-1] * WAVE, shards))
+    return list(zip(cuts, cuts[1:]))
+
+
+def _groups(n_trees: int, n_blocks: int) -> tuple[int, int]:
+    """Trees and blocks of a cell: as many as may be, unless there would be few cells."""
+    trees = max(1, min(CELL_TREES, n_trees // CELLS))
+    return trees, max(1, min(CELL_BLOCKS, n_blocks * -(-n_trees // trees) // CELLS))
+
+
 def top_inner_products(rows: DataFrame, every: int = 100, k: int = TOP, scale: int = SCALE, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k highest scores for each row whose id is divisible by ``every``, against all rows."""
     whole = usable(rows, vec_id, embedding)
-    n = whole.count()
+    n = rows.count()  # an upper bound, as good for sizes
     shards, n_blocks = shards_for(n, shard_rows), shards_for(n, every * query_rows)
     ints = F.transform("vec", lambda x: F.floor(x * scale))
     made = whole.select("id", ints.alias("ints"), F.size("vec").alias("dim"), lane(shards).alias("shard"))
-    trees, _ = written(made.groupBy("dim", "shard").applyInPandas(_tree, "dim int, shard int, tree binary"))
+    trees, _ = written(made.groupBy("dim", "shard").applyInArrow(_tree, "dim int, shard int, tree binary"))
     asked = queries_of(whole, every).select("id", ints.alias("ints"), F.size("vec").alias("dim"), lane(n_blocks).alias("block"))
-    blocks = asked.groupBy("dim", "block").applyInPandas(_block, "dim int, block int, queries binary")
-    # one tree gives every query its first threshold; blocks begin at different trees, so neither is one key for all of them
-    blocks = blocks.withColumn("shard", F.pmod("block", F.lit(shards)))
-    begun, _ = written(blocks.join(trees, ["dim", "shard"], "left").mapInPandas(_floors(k), "dim int, block int, queries binary, floors binary"))
-    pairs = begun.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["dim", "shard"])
-    found = pairs.select("dim", "shard", "queries", "floors", "tree").mapInPandas(_searched(k), "query_id long, vec_id long, score long")
-    return best(found, k)
+    blocks, _ = written(asked.groupBy("dim", "block").applyInArrow(_block, "dim int, block int, queries binary"))
+    held = None
+    for lo, hi in _waves(shards):
+        if held is None:
+            known = blocks.withColumn("floors", F.lit(None).cast("array<struct<query_id:bigint,score:bigint,vec_id:bigint>>"))
+        else:
+            held, _ = written(held)
+            floors = held.where(F.col("rank") == k).withColumnRenamed("query_id", "id").groupBy(lane(n_blocks).alias("block")).agg(F.collect_list(F.struct(F.col("id").alias("query_id"), "score", "vec_id")).alias("floors"))
+            known = blocks.join(floors, "block", "left")
+        per_cell, per_side = _groups(hi - lo, n_blocks)
+        tree_group, block_group = F.floor((F.col("shard") - lo) / per_cell).cast("int"), F.floor(F.col("block") / per_side).cast("int")
+        every_group = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        cells = known.select("dim", block_group.alias("h"), every_group(-(-(hi - lo) // per_cell)).alias("g"), "queries", "floors").groupBy("dim", "g", "h")
+        cells = cells.cogroup(trees.where(F.col("shard").between(lo, hi - 1)).select("dim", tree_group.alias("g"), every_group(-(-n_blocks // per_side)).alias("h"), "tree").groupBy("dim", "g", "h"))
+        found = cells.applyInArrow(_cell(k), "query_id long, vec_id long, score long")
+        held = best(found if held is None else found.unionByName(held.drop("rank")), k)
+    return held
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

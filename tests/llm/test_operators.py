@@ -192,6 +192,35 @@ def test_exact_search_brute_force_over_many_shards(spark):
     assert got == sorted(want)
 
 
+def test_exact_search_sends_no_trees_or_blocks_through_the_driver(spark):
+    import re
+
+    import numpy as np
+
+    x = np.random.default_rng(2).standard_normal((900, 8))
+    found = exactsearch.top_inner_products(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), every=3, shard_rows=9, query_rows=7)
+    plan = found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    for at in re.finditer("BroadcastExchange", plan):
+        line = plan.rfind("\n", 0, at.start()) + 1
+        below = plan[at.end() :].split("\n")[1:]
+        deeper = [x for n, x in enumerate(below) if all(len(re.match(r"[ :+-]*", y)[0]) > at.start() - line for y in below[: n + 1])]
+        assert not re.search("tree|queries|explode", "\n".join(deeper))
+
+
+def test_exact_search_beyond_what_floats_hold(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = (rng.integers(-3, 4, (400, 5)) * 10.0 ** rng.integers(0, 6, (400, 1))).astype(np.float32)
+    ints = [[int(np.floor(1024 * float(c))) for c in v] for v in x]
+    got = sorted(map(tuple, exactsearch.top_inner_products(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), every=10, shard_rows=30, query_rows=9).collect()))
+    want = []
+    for q in range(0, 400, 10):
+        s = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in enumerate(ints) if i != q)[:10]
+        want += [(q, r + 1, i, -n) for r, (n, i) in enumerate(s)]
+    assert got == sorted(want) and max(w[3] for w in want) > 2**53
+
+
 def test_exact_search_where_shards_lack_a_length(spark):
     long, short = [(i, [float(i % 7), 1.0]) for i in range(200)], [(1000, [1.0, 2.0, 3.0]), (1001, [0.5, 0.0, 0.0]), (1100, [1.0, 0.0, 0.0])]
     got = exactsearch.top_inner_products(vectors(spark, long + short), every=100, shard_rows=9, query_rows=1).collect()
